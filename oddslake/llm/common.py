@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,16 @@ def remainder_of_id(column: str, modulus: int) -> Column:
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than it must to tell."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def slices(batch: pa.RecordBatch, text: str, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Pieces of ``batch`` with about ``most_chars`` bytes of text, or one row."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > most_chars:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += int(size)
+    if start < batch.num_rows:
+        yield batch.slice(start)
