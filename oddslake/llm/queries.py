@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from oddslake.llm import line_dedup, mixing, pieces, quality_model, quality_rules, sharding, token_files
+from oddslake.llm import line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, sharding, token_files
 
 QUERIES = {
     "op1_pieces": pieces.query,
     "op3_quality_model": quality_model.query,
     "op4_token_files": token_files.query,
     "op5_sharding": sharding.query,
+    "op6_near_dedup": near_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_mixing": mixing.query,
     "op10_quality_rules": quality_rules.query,
