@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from oddslake.llm import line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, sharding, token_files
+from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, sharding, token_files, top_k
 
 QUERIES = {
     "op1_pieces": pieces.query,
+    "op2_top_k": top_k.query,
     "op3_quality_model": quality_model.query,
     "op4_token_files": token_files.query,
     "op5_sharding": sharding.query,
     "op6_near_dedup": near_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_language_id": language_id.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
+    "op2_top_k": top_k.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
