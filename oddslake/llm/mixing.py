@@ -109,6 +109,19 @@ def _maybe_broadcast(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if small_enough(sources, MOST_BROADCAST_SOURCES) else sources
 
 
+def _plan(docs: DataFrame, share: float, most_repeats: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The written sizes and hashes of ``docs``, and the thresholds of its sources."""
+    slim = written(docs.select("doc_id", "source", word_count("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sizes")
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = written(source_targets(sizes, share, most_repeats, weights), "mix-targets")
+    return slim, written(thresholds(slim, targets), "mix-plan")
+
+
+def _copies(most_repeats: int, repeats: str, threshold: str, hashed: Column) -> Column:
+    once_more = (F.col(repeats) < most_repeats) & (hashed < F.col(threshold))
+    return F.least(F.lit(most_repeats).cast("long"), F.col(repeats) + F.when(once_more, 1).otherwise(0))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Each document with the copies that the mix takes of it.
 
@@ -122,14 +135,20 @@ def mix(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: tup
     whose sizes are all 0 has target 0 and no copies. An empty table gives an empty result.
     Columns other than the three are not read.
     """
-    slim = written(docs.select("doc_id", "source", word_count("text").alias("size"), id_hash("doc_id").alias("hash")), "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(source_targets(sizes, share, most_repeats, weights), "mix-targets")
-    plan = thresholds(slim, targets)
-    plan = plan.withColumnRenamed("source", "s")
-    joined = slim.join(_maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.lit(most_repeats).cast("long"), F.col("repeats") + F.when((F.col("repeats") < most_repeats) & (F.col("hash") < F.col("threshold")), 1).otherwise(0))
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    slim, plan = _plan(docs, share, most_repeats, weights)
+    joined = slim.join(_maybe_broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    joined = joined.withColumn("copies", _copies(most_repeats, "repeats", "threshold", F.col("hash")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; all columns are kept."""
+    _, plan = _plan(docs, share, most_repeats, weights)
+    plan = plan.select(F.col("source").alias("_mix_source"), F.col("repeats").alias("_mix_repeats"), F.col("threshold").alias("_mix_threshold"))
+    joined = docs.join(_maybe_broadcast(plan), docs["source"].eqNullSafe(F.col("_mix_source")))
+    copies = _copies(most_repeats, "_mix_repeats", "_mix_threshold", id_hash("doc_id"))
+    taken = joined.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return taken.select(*[docs[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -156,8 +156,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[DataFrame
     document labelled several times trains with each label.
     """
     table = written(features(docs), "quality-statistics")
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder_of_id("doc_id", folds) != 0))
-    return table, train(table.join(known.select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id"))
+    return table, train(table.join(_training_labels(labels, folds), "doc_id"))
+
+
+def _training_labels(labels: DataFrame, folds: int) -> DataFrame:
+    usable = F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder_of_id("doc_id", folds) != 0)
+    return labels.where(usable).select("doc_id", F.col("quality").cast("int").alias("label"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,5 +175,19 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     return score(table, model).select("doc_id", (remainder_of_id("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``; all columns are kept."""
+    known = _training_labels(labels, folds)
+    model = train(features(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi")).join(known, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(FEATURES))
+                yield batch.filter(pa.array(model.score(x.astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
