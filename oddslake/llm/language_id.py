@@ -96,6 +96,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray) -> Model:
     """Learn from (features, shares, language number) in the order given; every fifth sets the temperature."""
     n_languages = len(languages)
+    if not n_languages:
+        return Model([], np.zeros((_SIZE, 0), np.float32), np.zeros(0), 1.0)
     z, n = np.zeros((_SIZE + 1, n_languages)), np.zeros((_SIZE + 1, n_languages))
 
     def weights(at: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -70,41 +71,55 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return passed
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once, also where Spark moves the whole expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _measures(p: Column) -> Column:
+    words, lines = p["words"], p["lines"]
+    starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    packed = p["body"]
+    for char in SPACE_CHARS:
+        packed = F.replace(packed, F.lit(char), F.lit(""))
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(packed).cast("long").alias("word_chars"),
+        F.regexp_count(p["body"], F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines_with_words"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(lines, lambda x: x.rlike("^[ \\t-\\r]*[-*•]"))).alias("n_bullet_lines"),
+        F.size(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)[ \\t-\\r]*$"))).alias("n_ellipsis_lines"),
+        F.regexp_count(p["body"], F.lit("!!+")).alias("n_loud_words"),
+        F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop_words"),
+        _let(windows, _covered_words).alias("n_repeat_words"),
+    )
+
+
+def _covered_words(windows: Column) -> Column:
+    """Words in windows whose hash is repeated; windows are put in order of hash and place only if some hash is."""
+    repeated = F.size(windows) > F.size(F.array_distinct(windows))
+    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def covered(o: Column) -> Column:
+        twin = F.filter(o, lambda x, i: F.get(o, i - 1)["h"].eqNullSafe(x["h"]) | F.get(o, i + 1)["h"].eqNullSafe(x["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(twin, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")
+
+    return F.when(repeated, _let(ordered, covered)).otherwise(F.lit(0).cast("long"))
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` columns doc_id and ``text`` replaced by the measures of the text, one row each."""
+    """doc_id and the measures of ``text``, one row for each row of ``docs``."""
     body = text_or_empty(text)
     trimmed = F.btrim(body, F.lit(SPACE_CHARS))
     no_words = F.array().cast("array<string>")
-    out = docs.select(
-        "doc_id",
+    parts = F.struct(
         body.alias("body"),
         F.when(F.length(trimmed) > 0, F.split(trimmed, f"{SPACE_CLASS}+")).otherwise(no_words).alias("words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"),
     )
-    packed = F.col("body")
-    for char in SPACE_CHARS:
-        packed = F.replace(packed, F.lit(char), F.lit(""))
-    starts = F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>"))
-    out = out.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(packed).cast("long").alias("word_chars"),
-        F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines_with_words"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike("^[ \\t-\\r]*[-*•]"))).alias("n_bullet_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike("(\\.\\.\\.|…)[ \\t-\\r]*$"))).alias("n_ellipsis_lines"),
-        F.regexp_count("body", F.lit("!!+")).alias("n_loud_words"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop_words"),
-        F.transform(starts, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))).alias("windows"),
-    )
-    # windows in order of hash and place, made only where some hash is repeated
-    repeated = F.size("windows") > F.size(F.array_distinct("windows"))
-    ordered = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("ordered", F.when(repeated, ordered).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twin = F.filter("ordered", lambda x, i: F.get("ordered", i - 1)["h"].eqNullSafe(x["h"]) | F.get("ordered", i + 1)["h"].eqNullSafe(x["h"]))
-    covered = F.array_distinct(F.flatten(F.transform(twin, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return out.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("windows", "ordered")
+    return docs.select("doc_id", _let(parts, _measures).alias("m")).select("doc_id", "m.*")
 
 
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

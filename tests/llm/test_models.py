@@ -17,7 +17,17 @@ def test_discriminant_separates_and_survives_constants():
     x = np.stack([rng.normal(0, 1, (400, 3)), rng.normal(2, 3, (400, 3))])
     x[:, :, 2] = 1.0  # one statistic never varies
     model = quality_model.fit(np.array([400.0, 400.0]), x.sum(axis=1), np.einsum("knd,kne->kde", x, x))
-    assert model.score(x[1]).mean() > 0.8 > 0.3 > model.score(x[0]).mean()
+    means, own = x.mean(axis=1), np.array([np.cov(c.T) for c in x])
+    lean = quality_model.POOLED + (1 - quality_model.POOLED) * 3 / 403
+    shrunk = (1 - lean) * own + lean * own.mean(axis=0)
+    room = quality_model.DIAGONAL * np.diag(np.diag(own.mean(axis=0)) + quality_model.FLOOR**2) + quality_model.FLOOR**2 * np.eye(3)
+    for c in x:  # the same scores from plain densities
+        logs = []
+        for k in (0, 1):
+            cov = (1 - quality_model.DIAGONAL) * shrunk[k] + room
+            logs.append([-0.5 * (v - means[k]) @ np.linalg.solve(cov, v - means[k]) - 0.5 * np.linalg.slogdet(cov)[1] for v in c])
+        assert np.allclose(model.score(c), 1 / (1 + np.exp(np.clip(np.subtract(*logs), -30, 30))))
+    assert model.score(x[1]).mean() > 0.7 > 0.3 > model.score(x[0]).mean()
     alone = quality_model.fit(np.array([0.0, 9.0]), np.zeros((2, 3)), np.zeros((2, 3, 3)))
     assert alone.score(x[0]).min() == alone.score(x[0]).max() > 0.5
 
