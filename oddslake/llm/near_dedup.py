@@ -37,7 +37,7 @@ ID_BUCKETS = 1 << 20
 #: Documents in a part of a region; a task holds two parts with their sets.
 BLOCK = 512
 #: Words whose hashes one Python worker keeps.
-MOST_KEPT = 1_000_000
+MOST_KEPT = 150_000
 
 _RANDOM = np.random.default_rng(20240117)
 _MASK = _RANDOM.integers(0, 2**32, MINIMA, np.uint32)[:, None]
