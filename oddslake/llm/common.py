@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,7 +65,16 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def slices(batch: pa.RecordBatch, text: str, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def give_back_memory() -> None:
+    """Return what this Python worker no longer holds to the system: workers outlive tasks, and the next may be another kind's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def slices(batch: pa.RecordBatch, text: str, most_chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of ``batch`` with about ``most_chars`` bytes of text, or one row."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -75,3 +85,4 @@ def slices(batch: pa.RecordBatch, text: str, most_chars: int = 4_000_000) -> Ite
         total += int(size)
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back_memory()

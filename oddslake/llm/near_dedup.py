@@ -124,6 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(n, 2)
                 lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], np.ascontiguousarray(x).ravel()) for x in (packed(least), band_keys(least))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *lists], names=["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
+        _WORDS.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -160,6 +161,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+        _WORDS.clear()
 
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, items binary")
     return written(sets.dropDuplicates(["doc_id"]), "near-sets")

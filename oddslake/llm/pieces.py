@@ -28,7 +28,7 @@ from oddslake.llm.common import read_table, slices
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
 #: Parts kept by one Python worker (about 250 bytes each); beyond it the store starts anew.
-MOST_KEPT = 200_000
+MOST_KEPT = 120_000
 #: Longer parts are merged each time they occur and not kept.
 LONGEST_KEPT = 48
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import read_table, remainder_of_id, slices, written
+from oddslake.llm.common import read_table, remainder_of_id, slices, small_enough, written
 
 #: Part of the pooled covariance, and of its diagonal, in each class covariance.
 POOLED, DIAGONAL = 0.2, 0.05
@@ -25,6 +25,8 @@ FLOOR = 0.02
 #: Log-density differences are held within this bound.
 MOST_LOGIT = 30.0
 THRESHOLD = 0.3
+#: Labelled ids that are broadcast at most (8 bytes each).
+MOST_BROADCAST_LABELS = 1_000_000
 
 FEATURES = ("log_words", "mean_word", "long_words", "short_words", "symbols", "bars", "marks", "stops", "upper", "doubled", "distinct", "repeats", "line_words", "non_ascii", "white")
 
@@ -178,7 +180,12 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``; all columns are kept."""
     known = _training_labels(labels, folds)
-    model = train(features(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi")).join(known, "doc_id"))
+    ids = known.select("doc_id").distinct()
+    if small_enough(ids, MOST_BROADCAST_LABELS):
+        taught = features(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+    else:  # statistics of all documents are smaller to shuffle than texts
+        taught = features(docs)
+    model = train(taught.join(known, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
