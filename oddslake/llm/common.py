@@ -65,6 +65,13 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session, unless it has another bound already: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 def give_back_memory() -> None:
     """Return what this Python worker no longer holds to the system: workers outlive tasks, and the next may be another kind's."""
     pa.default_memory_pool().release_unused()

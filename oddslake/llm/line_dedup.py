@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import SPACE_CHARS, read_table, slices, text_or_empty, written
+from oddslake.llm.common import SPACE_CHARS, bound_batches, read_table, slices, text_or_empty, written
 
 #: Filter bits for each line, and the least and most bits of a filter (64 MB).
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 29
@@ -161,6 +161,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
+    bound_batches(docs.sparkSession)
     found = written(repeated_keys(docs, least_docs, least_chars), "repeated-lines")
     total = found.count()
     passes = max(1, -(-total // KEYS_A_PASS))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import read_table, slices, small_enough, written
+from oddslake.llm.common import bound_batches, give_back_memory, read_table, slices, small_enough, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -178,10 +178,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            similar = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, "x"):
+                sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+                similar = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
+                yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
     sets = shingle_sets(docs, ids)
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
@@ -218,6 +219,7 @@ def block_links(table: pa.Table) -> pa.Table:
         sizes = np.array([len(x) for x in items])
         union = sizes[left][:, None] + sizes[right][None, :] - both
         at, to = np.nonzero(near & (100 * both >= LEAST_HUNDREDTHS * union))
+    give_back_memory()
     return pa.table({"a": doc[left[at]], "b": doc[right[to]]})
 
 
@@ -274,6 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with its own text's class. An empty table gives an empty result. Other columns are not
     read.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = written(signatures(docs), "near-signatures")
     usable = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import read_table, slices
+from oddslake.llm.common import bound_batches, read_table, slices
 
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
 #: Parts kept by one Python worker (about 250 bytes each); beyond it the store starts anew.
-MOST_KEPT = 120_000
+MOST_KEPT = 200_000
 #: Longer parts are merged each time they occur and not kept.
 LONGEST_KEPT = 48
 
@@ -146,16 +146,20 @@ class _Parts(dict):
             if part[k - 1 : k + 1] not in joined:
                 out.append(self._run(part[start:k]))
                 start = k
-        found = b"".join(out) + self._run(part[start:])
+        # a part without a cut is kept once, under its key
+        found = b"".join(out) + self._run(part[start:]) if start else self._ids(part)
         if len(key) <= LONGEST_KEPT:
             self[key] = found
         self.fresh.append(key)
         return found
 
+    def _ids(self, run: str) -> bytes:
+        return np.array(self.vocabulary.ids(run), np.int32).tobytes()
+
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
-            found = np.array(self.vocabulary.ids(run), np.int32).tobytes()
+            found = self._ids(run)
             if len(run) <= LONGEST_KEPT:
                 self.runs[run] = found
         return found
@@ -221,6 +225,7 @@ def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
     are encoded whole, whatever their length. No begin or end ids, no sampling. An empty
     table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*fields, T.StructField("decoded", T.StringType())] if decode else fields)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import read_table, remainder_of_id, slices, small_enough, written
+from oddslake.llm.common import bound_batches, read_table, remainder_of_id, slices, small_enough, written
 
 #: Part of the pooled covariance, and of its diagonal, in each class covariance.
 POOLED, DIAGONAL = 0.2, 0.05
@@ -179,6 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``; all columns are kept."""
+    bound_batches(docs.sparkSession)
     known = _training_labels(labels, folds)
     ids = known.select("doc_id").distinct()
     if small_enough(ids, MOST_BROADCAST_LABELS):
