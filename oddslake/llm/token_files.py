@@ -39,7 +39,7 @@ FRAME_BYTES = 256 * 1024
 #: Documents in a file, about.
 FILE_DOCS = 8192
 #: Words kept by one Python worker.
-MOST_KEPT = 200_000
+MOST_KEPT = 600_000
 LONGEST_KEPT = 48
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4"), ("frame", "<u4")])
