@@ -132,11 +132,19 @@ UPDATE_FROM = """
 SELECT c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey"""
 
 
+def _signed(lines):
+    """(l_orderkey, signature, n): one signature over all of an order's lines, however many."""
+    line = F.concat_ws(":", "l_linenumber", "l_returnflag", "l_linestatus")
+    return lines.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias("signature"), F.count("*").alias("n"))
+
+
+def _repeated_signatures(signed):
+    return signed.groupBy("signature").agg(F.count("*").alias("n_orders"), F.min("l_orderkey").alias("first_order")).where("n_orders > 1")
+
+
 def signature_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    signed = lines.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "l_linenumber", "l_returnflag", "l_linestatus"))), "|"), 256).alias("signature"), F.count("*").alias("n"))
-    pairs = signed.where("n <= 2").groupBy("signature").agg(F.count("*").alias("n_orders"), F.min("l_orderkey").alias("first_order"))
-    return pairs.where("n_orders > 1")
+    """Orders of at most two lines only, as its SQL asks; signature_match takes orders of any size."""
+    return _repeated_signatures(_signed(table(spark, sf_dir, "lineitem")).where("n <= 2"))
 
 
 SIGNATURE_JOIN = """
@@ -144,6 +152,15 @@ WITH s AS (SELECT l_orderkey, sha256(string_agg(s, '|' ORDER BY s)) AS signature
 SELECT signature, count(*) AS n_orders, min(l_orderkey) AS first_order FROM s WHERE n <= 2 GROUP BY signature HAVING count(*) > 1"""
 
 
+def signature_match(spark, sf_dir):
+    return _repeated_signatures(_signed(table(spark, sf_dir, "lineitem")))
+
+
+SIGNATURE_MATCH = """
+WITH s AS (SELECT l_orderkey, sha256(string_agg(s, '|' ORDER BY s)) AS signature FROM (SELECT l_orderkey, concat_ws(':', l_linenumber, l_returnflag, l_linestatus) AS s FROM lineitem) GROUP BY l_orderkey)
+SELECT signature, count(*) AS n_orders, min(l_orderkey) AS first_order FROM s GROUP BY signature HAVING count(*) > 1"""
+
+
 def set_ops(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
@@ -174,6 +191,21 @@ WITH a AS (SELECT n_nationkey AS id, n_name AS name, 0 AS p FROM nation WHERE n_
 SELECT id, name FROM a WHERE id NOT IN (SELECT r_regionkey * 5 FROM region) QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, name) = 1"""
 
 
+def catalog_merge_supplied(spark, sf_dir):
+    """As catalog_merge, with the nations whose suppliers have a mean balance above a level as the first source."""
+    t = lambda n: table(spark, sf_dir, n)
+    customers = t("customer").select(F.col("c_nationkey").alias("id"), F.concat(F.lit("live "), F.col("c_mktsegment")).alias("name")).distinct()
+    rich = t("supplier").groupBy("s_nationkey").agg(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).alias("balance"), F.count("*").alias("n")).where("balance > 4500 * n")
+    nations = t("nation").join(rich, F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    quarantined = t("region").select((F.col("r_regionkey") * 5).alias("id"))
+    return matching.by_precedence([nations, customers], ["id"]).join(quarantined, "id", "left_anti").select("id", "name")
+
+
+CATALOG_MERGE_SUPPLIED = """
+WITH a AS (SELECT n_nationkey AS id, n_name AS name, 0 AS p FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING sum(CAST(s_acctbal AS DECIMAL(18,2))) > 4500 * count(*)) UNION ALL SELECT DISTINCT c_nationkey, 'live ' || c_mktsegment, 1 FROM customer)
+SELECT id, name FROM a WHERE id NOT IN (SELECT r_regionkey * 5 FROM region) QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, name) = 1"""
+
+
 def logo_reuse(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), "p_partkey", "p_size")
     donors = parts.where("p_size <= 25").groupBy("key").agg(F.count("*").alias("n"), F.max("p_partkey").alias("donor")).where("n = 1").drop("n")
@@ -219,8 +251,10 @@ QUERIES = {
     "duplicate_groups": (duplicate_groups, DUPLICATE_GROUPS),
     "update_from": (update_from, UPDATE_FROM),
     "signature_join": (signature_join, SIGNATURE_JOIN),
+    "signature_match": (signature_match, SIGNATURE_MATCH),
     "set_ops": (set_ops, SET_OPS),
     "catalog_merge": (catalog_merge, CATALOG_MERGE),
+    "catalog_merge_supplied": (catalog_merge_supplied, CATALOG_MERGE_SUPPLIED),
     "logo_reuse": (logo_reuse, LOGO_REUSE),
     "alias_validity": (alias_validity, ALIAS_VALIDITY),
     "name_index": (name_index, NAME_INDEX),
