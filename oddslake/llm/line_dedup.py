@@ -33,6 +33,8 @@ SEGMENTS = 16
 KEYS_A_PASS = 2_000_000
 
 _KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
+#: Column of the lines that earlier passes have marked.
+_GONE = "_gone_lines"
 
 
 class Bloom:
@@ -167,14 +169,20 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
     passes = max(1, -(-total // KEYS_A_PASS))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     out = docs.select(*others).withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
+    if passes > 1:
+        out = out.withColumn(_GONE, F.lit(None).cast("binary"))
     for k in range(passes):
         part = found if passes == 1 else found.where(F.pmod(F.col("lo"), F.lit(passes)) == k)
-        out = _without(out, part.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), least_chars, keep)
-    return out
+        out = _without(out, part.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), least_chars, keep, k + 1 == passes)
+    return out.drop(_GONE)
 
 
-def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str) -> DataFrame:
-    """One pass over the texts with the given keys, about KEYS_A_PASS of them."""
+def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last: bool) -> DataFrame:
+    """One pass over the texts with the given keys, about KEYS_A_PASS of them.
+
+    Passes but the last leave the texts as they are, so that line numbers stay those of the
+    whole text, and only mark lines; the last one drops what any pass has marked.
+    """
     rows = keys.toPandas()
     table = np.empty(len(rows), _KEY)
     table["hi"], table["lo"] = rows["hi"], rows["lo"]
@@ -182,6 +190,7 @@ def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str) -> D
     kept_doc = rows["doc_id"].astype("Int64").to_numpy(dtype=np.int64, na_value=-(2**63))[order]
     kept_line = rows["line"].to_numpy(np.int64)[order] if len(rows) else np.empty(0, np.int64)
     held = docs.sparkSession.sparkContext.broadcast((table[order], kept_doc, kept_line))
+    several = _GONE in docs.columns
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept_docs, kept_lines = held.value
@@ -195,11 +204,20 @@ def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str) -> D
                     if keep == "first":
                         ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
                         gone &= (kept_docs[at] != ids[found.doc]) | (kept_lines[at] != found.number)
-                yield _replaced(batch, found, gone)
+                if several and batch.column(_GONE).null_count == 0:
+                    gone |= np.frombuffer(b"".join(batch.column(_GONE).to_pylist()), bool)
+                yield _replaced(batch, found, gone) if last else _marked(batch, found, gone)
 
     return docs.mapInArrow(drop, docs.schema)
 
 
+def _marked(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.RecordBatch:
+    """``batch`` with a byte for each line of a text: whether it goes."""
+    offsets = np.concatenate([[0], np.cumsum(found.per_doc)]).astype(np.int32)
+    marks = pa.Array.from_buffers(pa.binary(), len(found.per_doc), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gone.tobytes())])
+    return pa.RecordBatch.from_arrays([marks if c == _GONE else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+
 def _replaced(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.RecordBatch:
     n_docs = len(found.per_doc)
     dropped = np.bincount(found.doc[gone], minlength=n_docs)
@@ -209,11 +227,7 @@ def _replaced(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.Recor
         offsets = np.concatenate([[0], np.cumsum(found.per_doc - dropped)])
         joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), stay), pa.scalar("\n", pa.large_string()))
         texts = joined.cast(texts.type)
-    new = {"text": texts, "n_dropped": pa.array(dropped.astype(np.int64))}
-    before = batch.column("n_lines")
-    new["n_lines"] = pa.array(found.per_doc.astype(np.int64)) if before.null_count == len(before) else before
-    if before.null_count != len(before):
-        new["n_dropped"] = pc.add(batch.column("n_dropped"), new["n_dropped"])
+    new = {"text": texts, "n_lines": pa.array(found.per_doc.astype(np.int64)), "n_dropped": pa.array(dropped.astype(np.int64))}
     return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
 

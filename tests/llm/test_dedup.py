@@ -43,6 +43,28 @@ def test_lines_in_several_passes_and_with_a_full_filter(make, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(plain_lines(rows, 10))
 
 
+def plain_first_lines(rows, least_docs):
+    """Rows (unique ids, keys as they stand): of a repeated line only the first, by id and line number, stays."""
+    places = defaultdict(list)
+    for i, t in sorted(rows):
+        for n, x in enumerate(t.split("\n")):
+            places[x].append((i, n))
+    repeated = {x for x, at in places.items() if x and len({i for i, _ in at}) >= least_docs}
+    out = []
+    for i, t in rows:
+        lines = t.split("\n")
+        stay = [x for n, x in enumerate(lines) if x not in repeated or places[x][0] == (i, n)]
+        out.append((i, "\n".join(stay), len(lines), len(lines) - len(stay)))
+    return out
+
+
+def test_lines_keep_the_first_in_several_passes(make, monkeypatch):
+    rows = [(k, "\n".join(f"line {j}" for j in range(k % 7, k % 7 + 5)) + f"\nown {k}\nline {k % 7 + 1}\n\nline {k % 3}") for k in range(80)]
+    monkeypatch.setattr(line_dedup, "KEYS_A_PASS", 3)
+    got = line_dedup.dedup_lines(make(rows), least_docs=10, keep="first").select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_first_lines(rows, 10))
+
+
 def test_lines_of_an_empty_table(make):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
