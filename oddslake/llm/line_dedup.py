@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import SPACE_CHARS, bound_batches, read_table, slices, text_or_empty, written
+from oddslake.llm.common import SPACE_CHARS, bound_batches, fresh_path, read_table, remove, slices, text_or_empty, written
 
 #: Filter bits for each line, and the least and most bits of a filter (64 MB).
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 29
@@ -171,14 +172,23 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
     out = docs.select(*others).withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
     if passes > 1:
         out = out.withColumn(_GONE, F.lit(None).cast("binary"))
+    earlier = None
     for k in range(passes):
         part = found if passes == 1 else found.where(F.pmod(F.col("lo"), F.lit(passes)) == k)
-        out = _without(out, part.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), least_chars, keep, k + 1 == passes)
+        out, held = _without(out, part.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), least_chars, keep, k + 1 == passes)
+        if k + 1 < passes:  # one pass's keys are held at a time, and two tables at most
+            path = fresh_path(docs.sparkSession, "line-marks")
+            out.write.parquet(path)
+            held.destroy()
+            out = docs.sparkSession.read.schema(out.schema).parquet(path)
+            if earlier is not None:
+                remove(docs.sparkSession, earlier)
+            earlier = path
     return out.drop(_GONE)
 
 
-def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last: bool) -> DataFrame:
-    """One pass over the texts with the given keys, about KEYS_A_PASS of them.
+def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last: bool) -> tuple[DataFrame, Broadcast]:
+    """One pass over the texts with the given keys, about KEYS_A_PASS of them, and its broadcast.
 
     Passes but the last leave the texts as they are, so that line numbers stay those of the
     whole text, and only mark lines; the last one drops what any pass has marked.
@@ -208,7 +218,7 @@ def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last
                     gone |= np.frombuffer(b"".join(batch.column(_GONE).to_pylist()), bool)
                 yield _replaced(batch, found, gone) if last else _marked(batch, found, gone)
 
-    return docs.mapInArrow(drop, docs.schema)
+    return docs.mapInArrow(drop, docs.schema), held
 
 
 def _marked(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.RecordBatch:

@@ -65,6 +65,14 @@ def test_lines_keep_the_first_in_several_passes(make, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(plain_first_lines(rows, 10))
 
 
+def test_only_the_last_pass_is_left_to_run(make, monkeypatch):
+    rows = [(k, "\n".join(f"line {j}" for j in range(9))) for k in range(20)]
+    monkeypatch.setattr(line_dedup, "KEYS_A_PASS", 3)
+    out = line_dedup.dedup_lines(make(rows), least_docs=10)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["n_dropped"] for r in out.collect()} == {9}
+
+
 def test_lines_of_an_empty_table(make):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
