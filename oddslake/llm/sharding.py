@@ -85,7 +85,8 @@ def shard(docs: DataFrame, shards: int = 40, virtual_nodes: int = VIRTUAL_NODES,
     allows; a group too large for its shard flows on clockwise.
 
     A null text counts as an empty one. Null and repeated ids are placed like others;
-    repeated rows get slots of their own. Slots count from 0 without gaps in each shard.
+    rows with one id and text are counted and placed in portions of at most about a unit,
+    and get slots of their own. Slots count from 0 without gaps in each shard.
     An empty table gives an empty result. Other columns are not read.
     """
     text = text_or_empty()
@@ -96,28 +97,39 @@ def shard(docs: DataFrame, shards: int = 40, virtual_nodes: int = VIRTUAL_NODES,
         F.shiftrightunsigned(F.xxhash64(text), 64 - GRID_BITS).cast("int").alias("cell"),
         F.xxhash64(text, F.coalesce("doc_id", F.lit(-1))).alias("inner"),
     )
-    slim = written(slim, "shard-slim")
+    slim = written(slim.groupBy(*slim.columns).agg(F.count("*").alias("n")), "shard-slim")
     spark = docs.sparkSession
-    by_cell = slim.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most 2^GRID_BITS rows
+    load = F.sum(F.col("size") * F.col("n")).alias("bytes")
+    by_cell = slim.groupBy("cell").agg(load, F.sum("n").alias("n")).collect()  # at most 2^GRID_BITS rows
     total, rows = sum(r["bytes"] for r in by_cell), sum(r["n"] for r in by_cell)
     grain = max(1, total // (shards * UNITS_A_SHARD))
     parts = spark.createDataFrame([(r["cell"], min(r["n"], math.ceil(r["bytes"] / grain))) for r in by_cell], "cell int, parts long")
     # at most 2^GRID_BITS rows of 12 bytes
-    unit = slim.join(F.broadcast(parts), "cell").withColumn("part", F.pmod("inner", "parts")).drop("parts")
-    by_unit = unit.groupBy("cell", "part").agg(F.sum("size").alias("bytes")).collect()  # at most 2^GRID_BITS + shards * UNITS_A_SHARD rows
+    unit = _portions(slim, grain).join(F.broadcast(parts), "cell").withColumn("part", F.pmod("inner", "parts")).drop("parts")
+    by_unit = unit.groupBy("cell", "part").agg(load).collect()  # at most 2^GRID_BITS + shards * UNITS_A_SHARD rows
     chosen = place_units([(r["cell"], r["part"], r["bytes"]) for r in by_unit], ring_owners(shards, virtual_nodes), shards, slack)
     placed = spark.createDataFrame([(c, p, s) for (c, p), s in chosen.items()], "cell int, part long, shard int")
     return _with_slots(unit.join(F.broadcast(placed), ["cell", "part"]), max(8, math.ceil(rows / (shards * SLOT_ROWS))))
 
 
+def _portions(slim: DataFrame, grain: int) -> DataFrame:
+    """Counts of equal rows in portions of about ``grain`` bytes and at most SLOT_ROWS rows, each with a hash of its own."""
+    most = F.greatest(F.lit(1).cast("long"), F.least(F.lit(SLOT_ROWS).cast("long"), F.floor(F.lit(grain) / F.col("size"))))
+    cut = slim.withColumn("most", most).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("most"))))
+    inner = F.when(F.col("start") > 0, F.xxhash64("inner", "start")).otherwise(F.col("inner"))
+    return cut.withColumn("inner", inner).withColumn("n", F.least(F.col("most"), F.col("n") - F.col("start"))).drop("most", "start")
+
+
 def _with_slots(placed: DataFrame, blocks: int) -> DataFrame:
     """Slots without one large sort a shard: blocks are counted, their starts summed, rows numbered in their block."""
     placed = placed.withColumn("block", F.pmod(F.xxhash64("inner", F.lit(1)), F.lit(blocks)))
-    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("shard", "block").agg(F.sum("n").alias("n"))
     starts = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
-    numbered = placed.select("doc_id", "size", "text_crc32", "shard", "block", rank.alias("rank"))
-    return numbered.join(starts, ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
+    order = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size", "inner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.select("doc_id", "size", "text_crc32", "shard", "block", "n", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    first = F.col("start") + F.col("before")
+    slots = F.explode(F.sequence(first, first + F.col("n") - 1))
+    return numbered.join(starts, ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", slots.alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -49,6 +49,35 @@ def test_mix_comes_near_its_targets(make):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
 
 
+def test_mix_comes_near_its_targets_with_null_and_repeated_ids(make):
+    rows = [(k, prose(k, 20), None, f"s{k % 3}") for k in range(300)]
+    rows += [(None, prose(1000 + k, 20), None, "s1") for k in range(200)] + [(7, "the same four words", None, "s2") for _ in range(900)]
+    got = mixing.mix(make(rows)).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert max(r["target"] / r["source_size"] % 1 for r in got) > 0  # a source ends inside its documents
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    sizes = Counter()
+    for r in mixing.mixed(make(rows)).collect():
+        sizes[r["source"]] += len(r["text"].split())
+    for source, target in {r["source"]: r["target"] for r in got}.items():
+        assert abs(sizes[source] - target) <= 20
+
+
+def test_equal_rows_are_shared_out(make):
+    rows = [(k, prose(k, 40)) for k in range(400)] + [(None, "the same text " * 9)] * 3000
+    out = sharding.shard(make(rows), shards=8).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8
+    for s in sizes:
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_are_near_equal_and_whole(make):
     rows = [(k, prose(k % 300, 40)) for k in range(3000)] + [(10_000 + k, "the same text " * 9) for k in range(1500)]
     out = sharding.shard(make(rows), shards=8).collect()
