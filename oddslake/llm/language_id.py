@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import read_table, remainder_of_id, slices
+from oddslake.llm.common import read_table, remainder_of_id, slices, text_or_empty
 
 #: Hash bits of a feature, and the longest n-gram.
 BITS, LONGEST = 15, 3
@@ -154,11 +154,21 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def sample(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Features and shares of a sample of ``docs`` (doc_id, text, lang), in hash order: at most ``a_language`` of each language and ``most`` of all."""
-    order = F.md5(F.col("doc_id").cast("string"))
-    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", order.alias("h"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= a_language)
-    chosen = F.broadcast(ranked.orderBy("rank", "h", "doc_id").limit(most).select("doc_id", "h"))  # at most ``most`` rows
+    """Features and shares of a sample of ``docs`` (doc_id, text, lang), in hash order: at most ``a_language`` of each language and ``most`` of all.
+
+    Rows are picked by a hash of id and text, so null and repeated ids have no part in how
+    many there are; equal rows count each, but are read once.
+    """
+    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text_or_empty()).cast("string")).cast("binary"))
+    keyed = docs.withColumn("h", order)
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    first = keyed.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= a_language)
+    upto = F.least(F.sum("n").over(by_hash), F.lit(a_language))
+    before = F.sum("n").over(by_hash) - F.col("n")
+    ranked = first.select("lang", "h", before.alias("before"), upto.alias("upto")).where("before < upto")
+    each = ranked.select("lang", "h", F.explode(F.sequence(F.col("before"), F.col("upto") - 1)).alias("rank"))  # at most ``a_language`` a language
+    chosen = {(r["lang"], r["h"]): r["n"] for r in each.orderBy("rank", "h", "lang").limit(most).groupBy("lang", "h").agg(F.count("*").alias("n")).collect()}
+    picked = docs.sparkSession.createDataFrame(list(chosen), "lang string, h string")  # at most ``most`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,9 +180,11 @@ def sample(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAM
                     rows.append((at.astype(np.int32).tobytes(), (c[at] / c.sum()).astype(np.float32).tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["h", "lang", "at", "share"])
 
-    rows = docs.join(chosen, "doc_id").select("h", "lang", "text").mapInArrow(run, "h string, lang string, at binary, share binary").collect()
+    texts = keyed.join(F.broadcast(picked), ["lang", "h"]).select("h", "lang", "text").dropDuplicates(["h", "lang"])
+    rows = texts.mapInArrow(run, "h string, lang string, at binary, share binary").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"]))
-    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["lang"]) for r in rows]
+    found = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["lang"]) for r in rows]
+    return [x for r, x in zip(rows, found, strict=True) for _ in range(chosen[r["lang"], r["h"]])]
 
 
 def train(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAMPLE) -> Model:

@@ -146,3 +146,11 @@ def test_top_k_query_equals_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     got = top_k.query(spark, sf_dir).select("query_id", "rank", "vec_id", "score").collect()
     assert Counter(map(tuple, got)) == Counter(duckdb.sql(top_k.ORACLE).fetchall())
+
+
+def test_language_sample_is_bounded_with_repeated_ids(make):
+    rows = [(7, f"{lang} {k} words", lang, "a") for lang in ("en", "fr") for k in range(90)]
+    rows += [(None, "one text for all", "de", "a")] * 70 + [(None, f"without an id {k}", "it", "a") for k in range(5)]
+    found = Counter(lang for *_, lang in language_id.sample(make(rows), 40, 1000))
+    assert found == {"en": 40, "fr": 40, "de": 40, "it": 5}
+    assert len(language_id.sample(make(rows), 40, 30)) == 30
