@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -119,3 +120,14 @@ def test_piece_query(spark, sf_dir):
     for r in rows:
         ids = library.encode(r["text"])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def test_piece_query_on_every_document(spark, sf_dir):
+    import hashlib
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = Counter((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, text in docs.select("doc_id", "text").collect() for ids in [library.encode(text or "")])
+    got = pieces.query(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == want
