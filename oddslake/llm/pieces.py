@@ -6,14 +6,17 @@ piece. A text is first cut where no piece can reach across, which leaves the mer
 they are and makes the parts short and frequent, so each part is merged once and kept.
 Decoding works on ids alone.
 
-Work is done in Arrow batches. In every batch the parts met for the first time, and one
-whole text with its decoding, are compared with the sentencepiece library; a difference
-raises an error.
+Work is done in Arrow batches. In every batch these are compared with the sentencepiece
+library, and a difference raises an error: the parts met for the first time, one whole
+text, and the decoding of that text and of all texts with bytes beyond ASCII among their
+pieces or with blanks or marks at an end. Texts that repeat within a slice of a batch are
+encoded once.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -45,7 +48,8 @@ class PieceVocabulary:
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.score: dict[str, float] = {}
+        #: Scores of the pieces, negated: the agenda takes the least first.
+        self.rank: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte_id: dict[int, int] = {}
         self.surface: list[bytes] = []
@@ -61,27 +65,25 @@ class PieceVocabulary:
             elif lib.is_unknown(i):
                 self.surface.append(" ⁇ ".encode())
             else:
-                self.score[piece], self.id[piece] = lib.get_score(i), i
+                self.rank[piece], self.id[piece] = -lib.get_score(i), i
                 self.surface.append(piece.replace(BLANK, " ").encode())
-        if len(self.byte_id) != 256 or any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.score):
+        if len(self.byte_id) != 256 or any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.rank):
             raise ValueError("byte pieces, and blanks and line ends apart from other characters, are needed")
         self.is_byte = np.zeros(len(self.surface), bool)
         self.is_byte[list(self.byte_id.values())] = True
+        self.is_high = np.zeros(len(self.surface), bool)
+        self.is_high[[i for b, i in self.byte_id.items() if b >= 128]] = True
         self.text = [x.decode() if not self.is_byte[i] else "" for i, x in enumerate(self.surface)]
         #: Characters that stand side by side in some piece; a text may be cut between any others.
-        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
 
     def merge(self, part: str) -> list[str]:
         """The symbols of ``part`` when no adjacent pair is a piece any more."""
-        score = self.score
+        rank = self.rank.get
         symbols = list(part)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if (s := score.get(pair)) is not None:
-                agenda.append((-s, i, i + 1, pair))
+        agenda = [(s, i, i + 1, pair) for i, pair in enumerate(map(str.__add__, part, part[1:])) if (s := rank(pair)) is not None]
         heapify(agenda)
         while agenda:
             _, left, right, pair = heappop(agenda)
@@ -91,10 +93,10 @@ class PieceVocabulary:
             after[left] = after[right]
             if (r := after[left]) >= 0:
                 before[r] = left
-                if (s := score.get(pair + symbols[r])) is not None:
-                    heappush(agenda, (-s, left, r, pair + symbols[r]))
-            if (p := before[left]) >= 0 and (s := score.get(symbols[p] + pair)) is not None:
-                heappush(agenda, (-s, p, left, symbols[p] + pair))
+                if (s := rank(longer := pair + symbols[r])) is not None:
+                    heappush(agenda, (s, left, r, longer))
+            if (p := before[left]) >= 0 and (s := rank(longer := symbols[p] + pair)) is not None:
+                heappush(agenda, (s, p, left, longer))
         return [x for x in symbols if x]
 
     def ids(self, part: str) -> list[int]:
@@ -107,6 +109,10 @@ class PieceVocabulary:
                 out.append(found)
         return out
 
+    def needs_check(self, text: str, ids: np.ndarray) -> bool:
+        """Whether decoding is more than putting pieces side by side: bytes beyond ASCII, or blanks or marks at an end."""
+        return text[:1] in (" ", BLANK) or text[-1:] in (" ", BLANK) or bool(self.is_high[ids].any())
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``; the dummy blank goes. Bytes that form no character become U+FFFD, each."""
         if self.is_byte[ids].any():
@@ -132,7 +138,8 @@ class _Parts(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.runs: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        #: Parts met since the last check, with their ids.
+        self.fresh: list[tuple[str, bytes]] = []
 
     @staticmethod
     def marked(key: str) -> str:
@@ -149,13 +156,14 @@ class _Parts(dict):
         found = b"".join(out) + self._run(part[start:])
         if len(key) <= LONGEST_KEPT:
             self[key] = found
-        self.fresh.append(key)
+        if key != " ":
+            self.fresh.append((key, found))
         return found
 
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
-            found = np.array(self.vocabulary.ids(run), np.int32).tobytes()
+            found = array("i", self.vocabulary.ids(run)).tobytes()
             if len(run) <= LONGEST_KEPT:
                 self.runs[run] = found
         return found
@@ -176,13 +184,14 @@ class _Parts(dict):
 
     def check_fresh(self) -> None:
         """Compare the parts met since the last check with the library, then forget them."""
-        keys, self.fresh = [k for k in self.fresh if k != " "], []
-        if not keys:
+        fresh, self.fresh = self.fresh, []
+        if not fresh:
             return
-        texts = [k[1:] if not k.strip(" ") else k for k in keys]
-        for key, own in zip(keys, self.vocabulary.library.encode(texts, num_threads=1), strict=True):
-            own = own[1:] if key[0] == "\n" else own  # the library puts the dummy blank before it
-            if np.array(own, np.int32).tobytes() != self[key]:
+        texts = [k[1:] if not k.strip(" ") else k for k, _ in fresh]
+        for (key, found), own in zip(fresh, self.vocabulary.library.encode(texts, num_threads=1), strict=True):
+            if key[0] == "\n":
+                del own[0]  # the library puts the dummy blank before it
+            if array("i", own).tobytes() != found:
                 raise AssertionError(f"the part {key!r} differs from the library's encoding")
 
 
@@ -231,20 +240,23 @@ def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
-                encoded = [parts.encode(x) for x in texts]
+                once = dict.fromkeys(texts)  # copies stand together more often than not
+                for x in once:
+                    once[x] = np.frombuffer(parts.encode(x), np.int32)
                 parts.check_fresh()
                 parts.bound()
-                ids = [np.frombuffer(x, np.int32) for x in encoded]
+                ids = [once[x] for x in texts]
                 if texts and vocabulary.library.encode(texts[0]) != ids[0].tolist():
                     raise AssertionError("a whole text differs from the library's encoding")
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                columns = [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(encoded), np.int32))]
+                columns = [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.empty(0, np.int32))]
                 if decode:
-                    decoded = [vocabulary.decode(x) for x in ids]
-                    if texts and vocabulary.library.decode(ids[0].tolist()) != decoded[0]:
-                        raise AssertionError("a whole text differs from the library's decoding")
-                    columns.append(pa.array(decoded, pa.string()))
+                    decoded = {x: vocabulary.decode(own) for x, own in once.items()}
+                    for k, (x, own) in enumerate(once.items()):
+                        if (k == 0 or vocabulary.needs_check(x, own)) and vocabulary.library.decode(own.tolist()) != decoded[x]:
+                            raise AssertionError("a whole text differs from the library's decoding")
+                    columns.append(pa.array([decoded[x] for x in texts], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
