@@ -1,7 +1,9 @@
 """Exact top-k inner-product search with norm buckets.
 
-Vectors are grouped into buckets by length, and queries into blocks. A first pass over the
-longest vectors gives each query a score that its k best reach at least. In every other
+Vectors are grouped into buckets by length: cells of a logarithmic grid, light ones
+together and heavy ones in several blocks. A first pass over the longest vectors gives each
+query a score that its k best reach at least; queries that then need vectors of about one
+length share a block. In every other
 bucket that score, divided by the query's and the bucket's lengths, is a threshold on the
 cosine: above 1 the bucket is skipped; a high one prunes by coordinates (a vector within
 that angle of the query has each coordinate within known bounds), a low one by length.
@@ -12,22 +14,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddslake.llm.common import read_table, written
 
 #: Vectors of a block of a bucket, and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Steps of an octave in the grid of lengths, of which there are at most 70 octaves.
+LENGTH_STEPS, NEED_STEPS = 256, 32
 #: Cosine threshold from which coordinates are used, and how many.
 COORDINATE_FROM, FOCUS = 0.3, 3
 #: Room for rounding in bounds on cosines.
 EPSILON = 1e-9
+#: Products below this are exact in doubles.
+EXACT = 2.0**52
+#: Bytes of seed blocks that are broadcast at most.
+MOST_SEED_BYTES = 1 << 26
 
-_PACKED = "dims int, block int, n int, ids binary, vectors binary, norms binary"
+_PACKED = "dims int, block int, n int, rows binary, ids binary, vectors binary, norms binary, least binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -39,17 +49,64 @@ def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
+def grid(measure: str, steps: int) -> Column:
+    """The cell of a logarithmic grid that holds ``measure``; -1 for null and for what is not above 0."""
+    return F.when(F.col(measure) > 0, F.floor(F.log2(F.col(measure) + 1) * steps)).otherwise(-1).cast("int")
+
+
+class Run(NamedTuple):
+    """Blocks ``start`` to ``start + parts - 1`` of vectors of ``dims`` components, none with a greater measure than ``most``."""
+
+    dims: int
+    start: int
+    parts: int
+    most: float
+
+
+def runs_of(cells: list, size: int) -> tuple[list[Run], list[tuple[int, int, int, int]]]:
+    """Blocks of about ``size`` rows from counted ``cells`` (dims, cell, n, most), greatest cells first.
+
+    Light cells that follow each other share a block; a heavy one has several. Returns the
+    runs of blocks, and (dims, cell, start, parts) of each cell. Cells are as many as the
+    grid has, so this is short work for any number of rows.
+    """
+    runs: list[Run] = []
+    places, room, dims, at = [], 0, None, 0
+    for c in sorted(cells, key=lambda c: (c["dims"], -c["cell"])):
+        if c["dims"] != dims:
+            dims, at, room = c["dims"], 0, 0
+        if c["n"] > room:
+            runs.append(Run(dims, at, -(-c["n"] // size), c["most"]))
+            at += runs[-1].parts
+            room = size if runs[-1].parts == 1 else 0
+        room -= c["n"] if runs[-1].parts == 1 else 0
+        places.append((dims, c["cell"], runs[-1].start, runs[-1].parts))
+    return runs, places
+
+
+def in_blocks(table: DataFrame, size: int) -> tuple[DataFrame, list[Run]]:
+    """``table`` (row, vec_id, dims, v, norm, least, measure, cell) packed into blocks by cell, and their runs."""
+    cells = table.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("measure").alias("most")).collect()  # a row for each cell of the grid
+    runs, places = runs_of(cells, size)
+    named = F.broadcast(table.sparkSession.createDataFrame(places, "dims int, cell int, start int, parts int"))
+    placed = table.join(named, ["dims", "cell"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int"))
+    packed = placed.select("row", "vec_id", "dims", "v", "norm", "least", "block").groupBy("dims", "block").applyInArrow(pack, _PACKED)
+    return written(packed, "blocks"), runs
+
+
 def pack(table: pa.Table) -> pa.Table:
-    """One row with all vectors of a group, the longest first, on ties by smaller vec_id."""
-    ids, norms = table.column("vec_id").to_numpy(), table.column("norm").to_numpy()
+    """One row with all vectors of a block, the longest first, on ties by smaller vec_id."""
+    rows, ids, norms, least = (table.column(c).to_numpy() for c in ("row", "vec_id", "norm", "least"))
     dims, block = table.column("dims")[0].as_py(), table.column("block")[0].as_py()
-    v = np.array(table.column("v").to_pylist(), np.int64).reshape(len(ids), dims)
+    v = pc.list_flatten(table.column("v")).to_numpy().reshape(len(ids), dims)
     order = np.lexsort((ids, -norms))
-    return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids[order].tobytes()], "vectors": [v[order].tobytes()], "norms": [norms[order].tobytes()]})
+    held = {"rows": rows, "ids": ids, "vectors": v, "norms": norms, "least": least.astype(np.float64)}
+    return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(ids)], pa.int32()), **{c: [x[order].tobytes()] for c, x in held.items()}})
 
 
-def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(row[f"{side}ids"], np.int64), np.frombuffer(row[f"{side}vectors"], np.int64).reshape(row[f"{side}n"], row["dims"]), np.frombuffer(row[f"{side}norms"], np.float64))
+def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids = (np.frombuffer(row[f"{side}{c}"], np.int64) for c in ("rows", "ids"))
+    return rows, ids, np.frombuffer(row[f"{side}vectors"], np.int64).reshape(row[f"{side}n"], row["dims"]), np.frombuffer(row[f"{side}norms"], np.float64)
 
 
 def candidates(query: np.ndarray, length: float, least: float, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
@@ -74,129 +131,108 @@ def candidates(query: np.ndarray, length: float, least: float, vectors: np.ndarr
     return np.flatnonzero(fits)
 
 
-def best_of_block(row: dict, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, vec_ids, scores) of the k best in the block, ties to smaller ids, none below the query's threshold."""
-    q_ids, queries, q_norms = _unpacked(row, "q_")
-    ids, vectors, norms = _unpacked(row, "")
-    least = np.frombuffer(row["least"], np.float64) if row["least"] is not None else np.full(len(q_ids), -np.inf)
+def best_of_block(row: dict, k: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(query row, query id, vec_ids, scores) of the k best in the block, ties to smaller ids, none below the query's threshold."""
+    q_rows, q_ids, queries, q_norms = _unpacked(row, "q_")
+    rows, ids, vectors, norms = _unpacked(row, "")
+    least = np.frombuffer(row["q_least"], np.float64)
+    kind = np.float64 if q_norms.max() * norms[0] < EXACT else np.int64  # no sum of products is above the product of lengths
+    vectors, queries = vectors.astype(kind), queries.astype(kind)
+    places = [candidates(v, length, floor, vectors, norms) for v, length, floor in zip(queries, q_norms, least, strict=True)]
+    whole = [n for n, at in enumerate(places) if at is None]
+    products = dict(zip(whole, queries[whole] @ vectors.T, strict=True))
     out = []
-    for q, v, length, floor in zip(q_ids, queries, q_norms, least, strict=True):
-        at = candidates(v, length, floor, vectors, norms)
-        scores = (vectors if at is None else vectors[at]) @ v
-        own = ids if at is None else ids[at]
-        keep = (scores >= floor) & (own != q)
-        scores, own = scores[keep], own[keep]
+    for n, at in enumerate(places):
+        scores = products[n] if at is None else vectors[at] @ queries[n]
+        keep = scores >= least[n]
+        keep &= (rows if at is None else rows[at]) != q_rows[n]
+        scores, own = scores[keep], (ids if at is None else ids[at])[keep]
         if len(scores) > k:
             top = np.partition(scores, len(scores) - k)[len(scores) - k]
             scores, own = scores[scores >= top], own[scores >= top]
             order = np.lexsort((own, -scores))[:k]
             scores, own = scores[order], own[order]
         if len(scores):
-            out.append((int(q), own, scores))
+            out.append((int(q_rows[n]), int(q_ids[n]), own, scores.astype(np.int64)))
     return out
 
 
+_FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(batch.num_rows):
                 found = best_of_block(batch.slice(start, 1).to_pylist()[0], k)
                 if found:
-                    q = np.concatenate([np.full(len(ids), q) for q, ids, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["query_id", "vec_id", "score"])
+                    sizes = [len(x[2]) for x in found]
+                    columns = [np.repeat([x[0] for x in found], sizes), np.repeat([x[1] for x in found], sizes), *(np.concatenate([x[c] for x in found]) for c in (2, 3))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, _FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _asked(blocks: DataFrame) -> DataFrame:
+    return blocks.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vectors", "norms", "least")))
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k highest inner products with all other vectors.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. Components
     become floor(scale * x). Vectors that are null or hold a null or non-finite component,
     and rows without vec_id, take no part. Vectors meet only others of as many components.
-    Ids are expected to be unique; a repeated one is a candidate each time, and a query
-    passes over rows with its own id. Ties go to smaller ids. Fewer candidates give fewer
-    rows; an empty table gives none. Scores must stay below 2^63. Other columns are not
-    read.
+    Rows with one id are rows of their own: each is a query with ranks of its own, and a
+    candidate of the others. Ties go to smaller ids. Fewer candidates give fewer rows; an
+    empty table gives none. Scores must stay below 2^63. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    table = written(integer_vectors(vectors.select(F.col("vec_id").cast("long"), "embedding"), scale), "vectors")
-    shape = table.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()  # a row for each length of vector
-    if not shape:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    buckets = max(1, math.ceil(max(r["n"] for r in shape) / BLOCK))
-    cuts = table.groupBy("dims").agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts")).collect() if buckets > 1 else []
-    cuts = {r["dims"]: np.unique(r["cuts"]) for r in cuts}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, norm = batch.column("dims").to_numpy(zero_copy_only=False), batch.column("norm").to_numpy(zero_copy_only=False)
-            bucket = np.zeros(len(dims), np.int32)
-            for d in np.unique(dims):
-                bucket[dims == d] = np.searchsorted(cuts.get(int(d), np.empty(0)), norm[dims == d], "left")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], names=[*batch.schema.names, "bucket"])
-
-    placed = written(table.mapInArrow(place, "vec_id long, dims int, v array<long>, norm double, bucket int"), "placed")
-    sizes = placed.groupBy("dims", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("dims", F.desc("longest")).collect()  # about n / BLOCK rows
-    parts, first = [], {}
-    for r in sizes:
-        own = math.ceil(r["n"] / BLOCK)  # vectors of one length may overfill a bucket
-        parts.append((r["dims"], r["bucket"], sum(x[3] for x in parts), own))
-        first.setdefault(r["dims"], parts[-1][2])
-    starts = F.broadcast(spark.createDataFrame(parts, "dims int, bucket int, start int, parts int"))
-    blocks = placed.join(starts, ["dims", "bucket"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
-    blocks = written(blocks.select("vec_id", "dims", "v", "norm", "block").groupBy("dims", "block").applyInArrow(pack, _PACKED), "blocks")
-    many = max(1, math.ceil(max(r["q"] for r in shape) / QUERY_BLOCK))
-    asked = table.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(many)).cast("int"))
-    asked = asked.groupBy("dims", "block").applyInArrow(pack, _PACKED).select("dims", F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vectors", "norms")))
-    asked = written(asked, "queries")
-
-    seeds = F.broadcast(spark.createDataFrame(list(first.items()), "dims int, block int"))  # the longest vectors of each dimension
-    seeded = asked.join(seeds, "dims").withColumn("least", F.lit(None).cast("binary")).join(blocks, ["dims", "block"])
-    found = written(_ranked(_scored(seeded, k), k), "seeds")
-    floors = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    longest = {}
-    for d, bucket, start, own in parts:
-        longest.setdefault(d, []).extend((start + p, next(r["longest"] for r in sizes if (r["dims"], r["bucket"]) == (d, bucket))) for p in range(own))
-    tasks = _surviving(asked, floors, longest, first)
-    rest = _scored(tasks.join(blocks, ["dims", "block"]), k)
-    every = found.select("query_id", "vec_id", "score").union(rest)
+    table = integer_vectors(vectors.select(F.col("vec_id").cast("long"), "embedding"), scale).withColumn("row", F.monotonically_increasing_id())
+    table = written(table.withColumns({"cell": grid("norm", LENGTH_STEPS), "asks": is_query}), "vectors")  # row numbers are fixed from here on
+    blocks, runs = in_blocks(table.withColumns({"measure": F.col("norm"), "least": F.lit(0.0)}), BLOCK)
+    if not runs:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    queries = table.where("asks")
+    first, _ = in_blocks(queries.withColumns({"measure": F.lit(0.0), "cell": F.lit(0), "least": F.lit(float("-inf"))}), QUERY_BLOCK)
+    seeds = blocks.where("block = 0")  # some of the longest vectors of each dimension
+    starts = [r for r in runs if r.start == 0]
+    if sum(8 * BLOCK * (r.dims + 4) for r in starts) <= MOST_SEED_BYTES:
+        seeds = F.broadcast(seeds)
+    found = written(_ranked(_scored(_asked(first).join(seeds, "dims"), k), k), "seeds")
+
+    # queries of like needs share a block: how long must a vector be to reach the score of rank k?
+    floors = found.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    needs = queries.drop("cell").join(floors, "row", "left").withColumn("measure", F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")))
+    needs = needs.withColumns({"cell": grid("measure", NEED_STEPS), "least": F.coalesce("floor", F.lit(float("-inf")))})
+    second, _ = in_blocks(needs, QUERY_BLOCK)
+    rest = _scored(_surviving(_asked(second), runs).join(blocks, ["dims", "block"]), k)
+    every = found.select("query_row", "query_id", "vec_id", "score").union(rest)
     return _ranked(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _surviving(asked: DataFrame, floors: DataFrame, longest: dict[int, list[tuple[int, float]]], first: dict[int, int]) -> DataFrame:
-    """Query blocks with their thresholds, once for each block that some of their queries need to visit."""
-    ids = asked.select("dims", "q_block", "q_ids")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, b, raw in zip(*(batch.column(c).to_pylist() for c in ("dims", "q_block", "q_ids")), strict=True):
-                q = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(np.full(len(q), b, np.int32)), pa.array(np.arange(len(q), dtype=np.int32)), pa.array(q)], names=["dims", "q_block", "at", "query_id"])
-
-    listed = ids.mapInArrow(spread, "dims int, q_block int, at int, query_id long").join(floors, "query_id", "left")
-    by_block = listed.groupBy("dims", "q_block").agg(F.sort_array(F.collect_list(F.struct("at", "floor"))).alias("floors"))  # at most a block of queries
+def _surviving(asked: DataFrame, runs: list[Run]) -> DataFrame:
+    """Query blocks, once for each block but the first that some of their queries need to visit."""
+    columns = ["dims", "q_n", "q_rows", "q_ids", "q_vectors", "q_norms", "q_least"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
-                floor = np.array([-np.inf if x["floor"] is None else x["floor"] for x in row["floors"]])
-                length = np.frombuffer(row["q_norms"], np.float64)
+            for n in range(batch.num_rows):
+                one = batch.slice(n, 1).select(columns)
+                length, floor = (np.frombuffer(one.column(c)[0].as_py(), np.float64) for c in ("q_norms", "q_least"))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where((length > 0) & np.isfinite(floor), floor / length, -np.inf).min()
-                go = [b for b, norm in longest[row["dims"]] if b != first[row["dims"]] and norm >= need * (1 - EPSILON) - EPSILON]
-                if go:
-                    one = batch.slice(k, 1).select(["dims", "q_block", "q_n", "q_ids", "q_vectors", "q_norms"])
-                    for b in go:
-                        yield pa.RecordBatch.from_arrays([*one.columns, pa.array([floor.tobytes()], pa.binary()), pa.array([b], pa.int32())], names=[*one.schema.names, "least", "block"])
-
-    joined = asked.join(by_block, ["dims", "q_block"])
-    return joined.mapInArrow(visit, "dims int, q_block int, q_n int, q_ids binary, q_vectors binary, q_norms binary, least binary, block int")
+                for run in runs:
+                    if run.dims == one.column("dims")[0].as_py() and run.most >= need * (1 - EPSILON) - EPSILON:
+                        for block in range(max(1, run.start), run.start + run.parts):
+                            yield pa.RecordBatch.from_arrays([*one.columns, pa.array([block], pa.int32())], names=[*columns, "block"])
+
+    return asked.mapInArrow(visit, "dims int, q_n int, q_rows binary, q_ids binary, q_vectors binary, q_norms binary, q_least binary, block int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

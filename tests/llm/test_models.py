@@ -89,11 +89,11 @@ def test_weights_are_sparse(spark, sf_dir):
 
 
 def brute_top_k(rows, k, scale=64):
-    usable = [(i, [int(np.floor(scale * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(n, i, [int(np.floor(scale * float(np.float32(x)))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in usable:
+    for own, q, a in usable:
         if q % 20 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in usable if i != q and len(a) == len(b))[:k]
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, i, b in usable if n != own and len(a) == len(b))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -119,6 +119,28 @@ def test_top_k_equals_brute_force(table, monkeypatch):
     assert got == brute_top_k(rows, 7)
 
 
+def test_top_k_with_repeated_ids(table, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 4)
+    v = vectors(4, 120, 8)
+    rows = [(k // 2, v[k].tolist()) for k in range(100)] + [(20, v[0].tolist())] * 3 + [(40, v[101].tolist()), (40, v[101].tolist())]
+    got = sorted(map(tuple, top_k.search(table(rows), F.col("vec_id") % 20 == 0, k=6).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top_k(rows, 6)
+
+
+def test_top_k_of_large_components(table):
+    rows = [(k, [float(2**24 + 20 * k), -3.0]) for k in range(60)]  # products are beyond what doubles hold exactly
+    got = sorted(map(tuple, top_k.search(table(rows), F.col("vec_id") % 20 == 0, k=5).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top_k(rows, 5)
+
+
+def test_blocks_of_a_grid():
+    cells = [{"dims": 2, "cell": c, "n": n, "most": float(c)} for c, n in ((9, 3), (8, 4), (7, 5), (5, 25), (4, 1), (2, 9))]
+    runs, places = top_k.runs_of(cells, 10)
+    assert [(r.start, r.parts, r.most) for r in runs] == [(0, 1, 9.0), (1, 1, 7.0), (2, 3, 5.0), (5, 1, 4.0)]
+    assert [p[1:] for p in places] == [(9, 0, 1), (8, 0, 1), (7, 1, 1), (5, 2, 3), (4, 5, 1), (2, 5, 1)]
+
+
 def test_top_k_small_and_empty(table):
     rows = [(20, [1.0, 0.0]), (1, [1.0, 1.0])]
     assert [tuple(r) for r in top_k.search(table(rows), F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 4096)]
