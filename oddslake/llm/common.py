@@ -21,13 +21,16 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a new local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, and all of
+    Spark runs in one process (tests), a new local folder is made and set; a cluster has to
+    name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="oddslake-", dir=os.environ.get("TMPDIR")))
         named = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
@@ -44,7 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:

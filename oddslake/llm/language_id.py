@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import read_table, remainder_of_id, slices, text_or_empty
+from oddslake.llm.common import bound_batches, read_table, remainder_of_id, slices, text_or_empty, written
 
 #: Hash bits of a feature, and the longest n-gram.
 BITS, LONGEST = 15, 3
@@ -157,12 +157,18 @@ def sample(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAM
     """Features and shares of a sample of ``docs`` (doc_id, text, lang), in hash order: at most ``a_language`` of each language and ``most`` of all.
 
     Rows are picked by a hash of id and text, so null and repeated ids have no part in how
-    many there are; equal rows count each, but are read once.
+    many there are; equal rows count each, but are read once. A bound on the hash, from the
+    number of hashes of each language, leaves few more than ``a_language`` to be ranked.
     """
     order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text_or_empty()).cast("string")).cast("binary"))
     keyed = docs.withColumn("h", order)
+    distinct = written(keyed.groupBy("lang", "h").agg(F.count("*").alias("n")), "language-hashes")
+    room = a_language + 8 * int(a_language**0.5) + 16  # eight standard deviations more than are wanted
+    bound = F.lpad(F.hex(F.floor(F.lit(float(1 << 52)) * F.least(F.lit(1.0), room / F.col("hashes")))), 14, "0")  # as are the first 13 of 32 digits, and one before
+    bounds = distinct.groupBy("lang").agg(F.count("*").alias("hashes")).select("lang", F.lower(bound).alias("bound"))
+    few = distinct.join(bounds, "lang").where(F.concat(F.lit("0"), F.substring("h", 1, 13)) < F.col("bound")).drop("bound")
     by_hash = Window.partitionBy("lang").orderBy("h")
-    first = keyed.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= a_language)
+    first = few.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= a_language)
     upto = F.least(F.sum("n").over(by_hash), F.lit(a_language))
     before = F.sum("n").over(by_hash) - F.col("n")
     ranked = first.select("lang", "h", before.alias("before"), upto.alias("upto")).where("before < upto")
@@ -190,7 +196,7 @@ def sample(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAM
 def train(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAMPLE) -> Model:
     """A model from ``docs`` (doc_id, text, lang); rows without lang teach nothing.
 
-    Frequencies are those of all rows; ``a_language`` and ``most`` bound the sample for the weights.
+    Rows without an id teach like others. Frequencies are those of all rows; ``a_language`` and ``most`` bound the sample for the weights.
     """
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     found = sample(docs, a_language, most)
@@ -222,6 +228,7 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:
     texts and texts without a letter are ``und`` with score 0, as are all if no row has a
     lang. Repeated rows train and are predicted each. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rest = remainder_of_id("doc_id", folds)
     model = train(docs.where(rest != held_fold))
     return predict(docs, model).select("doc_id", (rest == held_fold).alias("held_out"), "lang_pred", "score")

@@ -173,12 +173,18 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     which labels train. Columns other than those named are not read. An empty table gives
     an empty result; without labels of both classes all scores are equal.
     """
+    bound_batches(docs.sparkSession)
     table, model = learn(docs, labels, folds)
     return score(table, model).select("doc_id", (remainder_of_id("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``; all columns are kept."""
+    """The rows of ``docs`` with a score of at least ``threshold``; all columns are kept, whatever their names.
+
+    Null and empty texts are scored as empty ones, very long ones whole; repeated rows and
+    ids fare alike, as only texts count. Without labels of both classes all rows have the
+    same score. An empty table gives an empty result.
+    """
     bound_batches(docs.sparkSession)
     known = _training_labels(labels, folds)
     ids = known.select("doc_id").distinct()

@@ -93,17 +93,19 @@ def _measures(p: Column) -> Column:
         F.size(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)[ \\t-\\r]*$"))).alias("n_ellipsis_lines"),
         F.regexp_count(p["body"], F.lit("!!+")).alias("n_loud_words"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop_words"),
-        _let(windows, _covered_words).alias("n_repeat_words"),
+        _let(windows, lambda h: _covered_words(h, words)).alias("n_repeat_words"),
     )
 
 
-def _covered_words(windows: Column) -> Column:
-    """Words in windows whose hash is repeated; windows are put in order of hash and place only if some hash is."""
+def _covered_words(windows: Column, words: Column) -> Column:
+    """Words in windows that are found twice: only if some hash repeats, windows are put in order of hash and words, which sets equal ones side by side."""
     repeated = F.size(windows) > F.size(F.array_distinct(windows))
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    own = lambda h, i: F.struct(h.alias("h"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i"))
+    ordered = F.array_sort(F.transform(windows, own))
 
     def covered(o: Column) -> Column:
-        twin = F.filter(o, lambda x, i: F.get(o, i - 1)["h"].eqNullSafe(x["h"]) | F.get(o, i + 1)["h"].eqNullSafe(x["h"]))
+        same = lambda x, y: (y["h"] == x["h"]) & (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["c"] == x["c"])
+        twin = F.filter(o, lambda x, i: F.coalesce(same(x, F.get(o, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(o, i + 1)), F.lit(False)))
         return F.size(F.array_distinct(F.flatten(F.transform(twin, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")
 
     return F.when(repeated, _let(ordered, covered)).otherwise(F.lit(0).cast("long"))
@@ -127,8 +129,8 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     ``docs`` has doc_id and text. Null and empty texts have no words: all measures are 0
     and base_failed is true. Null and repeated ids get a row for each input row. Windows
-    of three words are compared by a 64-bit hash. An empty table gives an empty result;
-    other columns are not read.
+    of three words are compared by hash and, where a hash repeats, by their words. An empty
+    table gives an empty result; other columns are not read.
     """
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))

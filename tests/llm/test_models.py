@@ -1,4 +1,6 @@
-from collections import Counter
+import hashlib
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -57,6 +59,85 @@ def test_kept_rows_are_those_predicted(spark, sf_dir):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in want.collect()}
 
 
+def test_quality_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = {r["doc_id"]: np.array(quality_model.statistics(r["text"] or ""), np.float32).astype(float) for r in docs}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [np.array([x[i] for i, y in labels.items() if y == k and crc(i) and i in x]) for k in (0, 1)]
+    d, n = len(quality_model.FEATURES), [len(r) for r in rows]
+    within = sum((r - r.mean(axis=0)).T @ (r - r.mean(axis=0)) for r in rows) / (sum(n) - 2)
+    dense = []
+    for k in (0, 1):
+        lean = quality_model.POOLED + (1 - quality_model.POOLED) * d / (n[k] + d)
+        cov = (1 - lean) * np.cov(rows[k], rowvar=False) + lean * within
+        cov = (1 - quality_model.DIAGONAL) * cov + quality_model.DIAGONAL * np.diag(np.diag(within) + quality_model.FLOOR**2) + quality_model.FLOOR**2 * np.eye(d)
+        inverse, log_det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        dense.append({i: -0.5 * (v - rows[k].mean(axis=0)) @ inverse @ (v - rows[k].mean(axis=0)) - 0.5 * log_det for i, v in x.items()})
+    prior = np.log((n[1] + 0.5) / (n[0] + 0.5))
+    got = {r["doc_id"]: r for r in quality_model.query(spark, sf_dir).collect()}
+    assert set(got) == set(x)
+    for i in x:
+        want = 1 / (1 + np.exp(-np.clip(prior + dense[1][i] - dense[0][i], -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-4) and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] == (crc(i) == 0)
+
+
+def plain_grams(text):
+    """n-gram hashes in plain integers, as the module's docstring and constants define them."""
+    fold = lambda c: c if not c.isascii() or c.isalpha() else " "
+    chars, out, mask = [ord(fold(c)) for c in f" {text.lower()} "], Counter(), 2**32 - 1
+    for n in range(1, language_id.LONGEST + 1):
+        for k in range(len(chars) - n + 1):
+            h = n
+            for c in chars[k : k + n]:
+                h = (h + c) * 0x01000193 & mask
+                h ^= h >> 15
+            out[(h * 0x85EBCA6B & mask) >> (32 - language_id.BITS)] += 1
+    return out
+
+
+def test_language_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    fold = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in docs}
+    grams = {r["doc_id"]: plain_grams(r["text"] or "") for r in docs}
+    teach = [r for r in docs if fold[r["doc_id"]] != 2 and r["lang"] is not None]
+    languages = sorted({r["lang"] for r in teach})
+    seen = Counter(g for r in teach for g in grams[r["doc_id"]])
+    idf = lambda g: np.log((1 + len(teach)) / (1 + seen[g])) + 1
+    key = lambda r: hashlib.md5(f"{r['doc_id']}:{hashed[r['doc_id']]}".encode()).hexdigest()
+    hashed = {r["doc_id"]: r["h"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = []
+    for r in sorted(teach, key=key):
+        g = grams[r["doc_id"]]
+        rows.append(({a: language_id.SCALE * c / sum(g.values()) * idf(a) for a, c in g.items()} | {-1: 1.0}, languages.index(r["lang"])))
+    z, n = (defaultdict(lambda: np.zeros(len(languages))) for _ in range(2))
+
+    def weight(a):
+        step = (language_id.BETA + np.sqrt(n[a])) / language_id.ALPHA + language_id.L2
+        return np.where(np.abs(z[a]) <= language_id.L1, 0.0, -(z[a] - np.sign(z[a]) * language_id.L1) / step)
+
+    for _ in range(language_id.PASSES):
+        for x, y in (row for k, row in enumerate(rows) if k % 5):
+            w = {a: weight(a) for a in x}
+            error = language_id.softmax(sum(v * w[a] for a, v in x.items()))
+            error[y] -= 1
+            for a, v in x.items():
+                g = v * error
+                z[a] += g - (np.sqrt(n[a] + g * g) - np.sqrt(n[a])) / language_id.ALPHA * w[a]
+                n[a] += g * g
+    got = {r["doc_id"]: r for r in language_id.query(spark, sf_dir).collect()}
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    for r in docs:
+        i, g = r["doc_id"], grams[r["doc_id"]]
+        assert got[i]["held_out"] == (fold[i] == 2)
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        p = language_id.softmax((sum(language_id.SCALE * c / sum(g.values()) * idf(a) * weight(a) for a, c in g.items()) + weight(-1)) / model.temperature)
+        assert got[i]["lang_pred"] == languages[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), abs=2e-3)
+
+
 def test_language_on_held_out_documents(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     out = language_id.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -195,6 +195,13 @@ def test_rules_measure_as_plain_python_does(make, odd_rows, spark, sf_dir):
     assert Counter(tuple(r[c] for c in cols) for r in quality_rules.assess(docs).collect()) == texts
 
 
+def test_windows_of_one_hash_are_told_apart(make, monkeypatch):
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    rows = [(1, "a b c d e f"), (2, "a b c x a b c y b c x"), (3, "a b c " * 4)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.assess(make(rows)).collect()}
+    assert got == {i: plain_measures(t)[4] for i, t in rows}
+
+
 def test_rules_use_no_user_function_and_keep_clean_documents(spark, sf_dir):
     out = quality_rules.assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plan = out._jdf.queryExecution().executedPlan().toString()
