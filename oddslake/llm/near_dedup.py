@@ -1,26 +1,27 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Documents with the same shingle set form a class, of which the smallest doc_id stands for
-all. Band keys over MinHash minima gather candidate classes. Of the minima only the low b
+Documents with the same shingle set form a class, of which one stands for all. Band keys over MinHash minima gather candidate classes. Of the minima only the low b
 bits are kept, packed in 64-bit words; equal lanes, counted by bit operations and corrected
 for chance, estimate similarity and drop candidates that are far off. What is left is
 confirmed on the full shingle sets.
 
 Candidates of a band bucket are first compared with one member of the bucket. Members that
-the confirmed links already connect need no further comparison; only buckets with members
-in different components are searched pair by pair.
+the confirmed links already connect need no further comparison. In a bucket with members
+in different components, the members outside its largest component are compared with all
+others. A pair at the least similarity shares no band with a probability of about 5e-6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import bound_batches, give_back_memory, read_table, slices, small_enough, written
+from oddslake.llm.common import bound_batches, drop_written, give_back_memory, read_table, slices, small_enough, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -36,6 +37,8 @@ SALTS = 32
 ID_BUCKETS = 1 << 20
 #: Documents in a part of a region; a task holds two parts with their sets.
 BLOCK = 512
+#: Fewer buckets than this are so full that their hub is broadcast (16 bytes each).
+MOST_FULL = 20_000
 #: Words whose hashes one Python worker keeps.
 MOST_KEPT = 150_000
 
@@ -105,8 +108,8 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set hash (hi, lo), packed bits (sig) and band keys of every document."""
-    schema = "doc_id long, n_shingles long, hi long, lo long, sig array<long>, bands array<long>"
+    """doc_id, n_shingles, set hash (hi, lo), packed bits (sig), band keys and text hash of every document."""
+    schema = "doc_id long, n_shingles long, hi long, lo long, sig array<long>, bands array<long>, text_hash long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -123,10 +126,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                         least[k] = minima(items)
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(n, 2)
                 lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], np.ascontiguousarray(x).ravel()) for x in (packed(least), band_keys(least))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *lists], names=["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *lists, batch.column("text_hash")], names=["doc_id", "n_shingles", "hi", "lo", "sig", "bands", "text_hash"])
         _WORDS.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def equal_lanes(a: str, b: str) -> Column:
@@ -146,25 +149,33 @@ def may_link(a: str, b: str) -> Column:
     return (equal_lanes(a, b) / F.lit(float(MINIMA)) - chance) / (1 - chance) >= LEAST_HUNDREDTHS / 100 - SLACK
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, items) for the distinct doc_ids in ``ids``: the full shingle sets, as bytes of sorted 64-bit hashes.
+class Texts(NamedTuple):
+    """The documents, and the one that stands for each class: names has doc_id (the class's number), id and text_hash."""
 
-    Texts of other documents are left out before the shuffle by a broadcast of id buckets,
-    at most ID_BUCKETS of them, and then exactly.
-    """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
-    wanted = F.broadcast(ids.select(bucket.alias("bucket")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
+    docs: DataFrame
+    names: DataFrame
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "items"])
-        _WORDS.clear()
+    def shingle_sets(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, items) for the distinct class numbers in ``ids``: the full shingle sets, as bytes of sorted 64-bit hashes.
+
+        Texts of other documents are left out before the shuffle by a broadcast of buckets
+        of ids and texts, at most ID_BUCKETS of them, and then exactly.
+        """
+        names = written(self.names.join(ids.distinct(), "doc_id", "left_semi"), "near-names")
+        bucket = lambda i: F.pmod(F.xxhash64(i, "text_hash"), F.lit(ID_BUCKETS)).alias("bucket")
+        wanted = F.broadcast(names.select(bucket("id")).distinct())
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_hash"))
+        texts = texts.select("*", bucket("id")).join(wanted, "bucket", "left_semi").drop("bucket").join(names, ["id", "text_hash"])
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+            _WORDS.clear()
 
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, items binary")
-    return written(sets.dropDuplicates(["doc_id"]), "near-sets")
+        sets = texts.select("doc_id", "text").mapInArrow(to_sets, "doc_id long, items binary")
+        return written(sets.dropDuplicates(["doc_id"]), "near-sets")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -172,10 +183,10 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= LEAST_HUNDREDTHS * (len(x) + len(y) - both)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
+def confirmed(texts: Texts, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class numbers whose full shingle sets are similar enough."""
     pairs = written(pairs, "near-candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,10 +195,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 similar = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
                 yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    sets = shingle_sets(docs, ids)
+    sets = texts.shingle_sets(ids)
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-links")
+    links = written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-links")
+    drop_written(pairs, sets)
+    return links
 
 
 def block_links(table: pa.Table) -> pa.Table:
@@ -255,7 +268,8 @@ def components(links: DataFrame) -> DataFrame:
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        edges = written(small.distinct(), "near-edges")
+        before, edges = edges, written(small.distinct(), "near-edges")
+        drop_written(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -272,38 +286,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles and are linked with
     nothing. A row without doc_id is linked with nothing, has no component_id and is
-    kept. Rows with one doc_id are expected to hold one text; if they don't, each row goes
-    with its own text's class. An empty table gives an empty result. Other columns are not
+    kept. Each row is a document of its own, so rows of one doc_id with different texts go
+    each with its own text's links. An empty table gives an empty result. Other columns are not
     read.
     """
+    return _components_of(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    """The rows of near_duplicates, with the text's hash and the group's number (null for rows that are a group alone)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = written(signatures(docs), "near-signatures")
     usable = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
-    links = class_links(docs, usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "bands"))
-    roots = components(links)
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("hi", "lo", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    shared = named.where((F.col("n") > 1) | (F.col("root") != F.col("rep"))).select("hi", "lo", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = table.select("doc_id", "n_shingles", "hi", "lo", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = salted.join(shared, ["hi", "lo", "salt"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links between class representatives that connect all that are linked.
-
-    ``reps`` has doc_id, sig and bands, one row a class.
+    classes = usable.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep"), F.count("*").alias("n"))
+    classes = written(classes.select("hi", "lo", "rep.*", "n", F.monotonically_increasing_id().alias("class")), "near-classes")  # numbers are fixed from here on
+    names = classes.select(F.col("class").alias("doc_id"), "id", "text_hash")
+    reps = usable.withColumnRenamed("doc_id", "id").join(names, ["id", "text_hash"]).select("doc_id", "sig", "bands")
+    roots = components(class_links(Texts(docs, names), reps))
+    linked = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("group", F.coalesce("root", "class"))
+    heads = linked.join(roots.select(F.col("root").alias("group")).distinct(), "group").groupBy("group").agg(F.min("id").alias("head"))
+    named = linked.join(heads, "group", "left")
+    shared = named.where((F.col("n") > 1) | F.col("head").isNotNull()).select("hi", "lo", "group", F.coalesce("head", "id").alias("head"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = table.select("doc_id", "n_shingles", "hi", "lo", "text_hash", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = salted.join(shared, ["hi", "lo", "salt"], "left").withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    component = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("head", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(~F.col("alone"), F.col("group")).alias("group"), "text_hash")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def class_links(texts: Texts, reps: DataFrame) -> DataFrame:
+    """Confirmed links between classes that connect all that are linked.
+
+    ``reps`` has doc_id (the class's number), sig and bands.
     """
     reps = written(reps.dropDuplicates(["doc_id"]), "near-reps")
-    cells = reps.select(F.explode("bands").alias("key"), "doc_id")
-    hubs = cells.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(cells.join(hubs, "key"), "near-buckets")
+    buckets = written(_with_hubs(reps.select(F.explode("bands").alias("key"), "doc_id")), "near-buckets")
     sig = reps.select("doc_id", "sig")
     stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stars.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    first = confirmed(docs, stars.where(may_link("sa", "sb")).select("a", "b"))
+    first = confirmed(texts, stars.where(may_link("sa", "sb")).select("a", "b"))
     roots = components(first)
     # buckets whose members the first links don't connect
     placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "hub", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -311,13 +333,25 @@ def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = written(placed.join(mixed, "key", "left_semi").join(sig, "doc_id"), "near-mixed")
     region = _regions(left)
-    inside = _links_in_regions(docs, left.select("doc_id", "root", "sig").dropDuplicates(["doc_id"]).join(region, "doc_id"))
-    # pairs across regions, but for those with the bucket's hub, which have been compared
-    placed = left.join(region, "doc_id")
-    x = placed.select("key", "hub", F.col("region").alias("ga"), F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    y = placed.select("key", F.col("region").alias("gb"), F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("ga") != F.col("gb")) & (F.col("a") != F.col("hub")) & may_link("sa", "sb"))
-    return first.union(inside).union(confirmed(docs, across.select("a", "b").distinct()))
+    inside = _links_in_regions(texts, left.select("doc_id", "root", "sig").dropDuplicates(["doc_id"]).join(region, "doc_id"))
+    across = written(_pairs_across(left.join(region, "doc_id")), "near-across")
+    out = first.union(inside).union(confirmed(texts, across))
+    drop_written(reps, buckets, placed, left, across)
+    return out
+
+
+def _with_hubs(cells: DataFrame) -> DataFrame:
+    """(key, doc_id, hub) of the buckets with two members or more; the hub is the smallest member.
+
+    Hubs of the fullest buckets are broadcast to their members, which so are not gathered in
+    one task.
+    """
+    cells = written(cells, "near-cells")
+    hubs = written(cells.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
+    full = cells.count() / MOST_FULL  # fewer than MOST_FULL buckets have more members
+    hot, other = (hubs.where(x).select("key", "hub") for x in (F.col("n") > full, F.col("n") <= full))
+    named = cells.join(F.broadcast(hot.withColumnRenamed("hub", "hot_hub")), "key", "left")
+    return named.where("hot_hub is not null").select("key", "doc_id", F.col("hot_hub").alias("hub")).union(named.where("hot_hub is null").drop("hot_hub").join(other, "key"))
 
 
 def _regions(cells: DataFrame) -> DataFrame:
@@ -327,22 +361,73 @@ def _regions(cells: DataFrame) -> DataFrame:
     return written(cells.select("key", "doc_id").join(keyed, "key").groupBy("doc_id").agg(F.min("region").alias("region")), "near-regions")
 
 
-def _links_in_regions(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """All links inside regions between different roots: regions are cut into parts of about BLOCK documents, and parts compared by twos."""
+def _largest(members: DataFrame, group: str, part: str) -> DataFrame:
+    """(group, main, n): the most frequent ``part`` of each group and the group's size, for groups of several parts; on ties the smallest."""
+    counts = members.groupBy(group, part).agg(F.count("*").alias("own"))
+    return counts.groupBy(group).agg(F.min(F.struct((-F.col("own")).alias("less"), F.col(part).alias("part")))["part"].alias("main"), F.sum("own").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+
+
+def _pairs_across(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of a bucket's members from different regions and roots that may be linked, but for those with its hub, which have been compared.
+
+    ``members`` has key, hub, doc_id, root, sig and region. All members of a bucket stand
+    once, in parts of about BLOCK; only those outside its largest region go to every part.
+    So the work on a bucket is its size times the number of strangers in it.
+    """
+    members = members.join(_largest(members, "key", "region"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    x = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    y = members.where(F.col("region") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    columns = lambda df, s: df.select("key", "part", *(F.col(c).alias(c + s) for c in ("doc_id", "root", "region", "sig")))
+    x, y = columns(x.where("doc_id <> hub"), "_x"), columns(y.where("doc_id <> hub"), "_y")
+    other = (F.col("region_x") != F.col("region_y")) & (F.col("root_x") != F.col("root_y"))
+    pairs = x.join(y, ["key", "part"]).where(other & may_link("sig_x", "sig_y"))
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
+def _links_in_regions(texts: Texts, members: DataFrame) -> DataFrame:
+    """All links inside regions between different roots.
+
+    Members are cut into parts of about BLOCK, those of the region's largest root apart
+    from the others. Parts of that root are held against the others' parts only, so the
+    work on a region is its size times the number of its members with other roots.
+    """
     members = written(members, "near-members")
-    shape = members.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    parts = members.join(shape.select("region", F.ceil(F.col("n") / BLOCK).alias("parts")), "region")
-    parts = parts.withColumn("sub", F.pmod(F.xxhash64("doc_id"), "parts")).join(shingle_sets(docs, members.select("doc_id")), "doc_id")
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    shape = _largest(members, "region", "root")
+    own = members.join(shape.select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
+    counts = own.groupBy("region").agg(F.ceil(F.count_if("is_main") / BLOCK).alias("main_parts"), F.ceil(F.count_if(~F.col("is_main")) / BLOCK).alias("other_parts"))
+    parts = own.join(counts, "region").join(texts.shingle_sets(own.select("doc_id")), "doc_id")
+    slot = F.xxhash64("doc_id")
+    parts = parts.withColumn("sub", F.when(F.col("is_main"), F.col("other_parts") + F.pmod(slot, "main_parts")).otherwise(F.pmod(slot, "other_parts")))
+    every = F.when(F.col("is_main"), F.col("other_parts")).otherwise(F.col("other_parts") + F.col("main_parts"))
+    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), every - 1)))
     dealt = dealt.select("region", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "doc_id", "root", "sig", "items")
     return written(dealt.groupBy("region", "i", "j").applyInArrow(block_links, "a long, b long"), "near-links")
 
 
 def keep_one(docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """``docs`` without the documents that near_duplicates does not keep."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
-    few = small_enough(gone, most_broadcast)  # 8 bytes a row
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The rows of ``docs`` that near_duplicates keeps, one of each group; all columns are kept, whatever their names.
+
+    Rows are told apart by doc_id and text. Of several rows with the smallest doc_id of a
+    group, the one of the smallest text hash stays, and of rows equal in both one row. Rows
+    without doc_id, and null, empty and blank texts, are linked with nothing and all stay.
+    Very long texts are compared whole. An empty table gives an empty result.
+    """
+    found = written(_components_of(docs).where("group is not null"), "near-kept")
+    heads = found.where("kept").groupBy("group").agg(F.min("text_hash").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    again = written(found.where("kept").join(heads, "group").select("doc_id", "text_hash", "first"), "near-again")  # ids that stand on several rows of a group
+    several = written(again.where("text_hash = first").select("doc_id", "text_hash").distinct(), "near-several")
+    spare = again.where("text_hash <> first").select("doc_id", "text_hash")
+    gone = written(found.where(~F.col("kept")).select("doc_id", "text_hash").union(spare).distinct(), "near-gone")
+    columns = [f"c{k}" for k in range(len(docs.columns))]  # names that can't clash
+    doc_id, text = (docs.columns.index(c) for c in ("doc_id", "text"))
+    rows = docs.toDF(*columns).withColumns({"_id": F.col(f"c{doc_id}").cast("long"), "_hash": F.xxhash64(f"c{text}")})
+    key = (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    stay = rows.join(F.broadcast(gone) if small_enough(gone, most_broadcast) else gone, key, "left_anti")  # 16 bytes a row
+    if small_enough(several, 0):
+        return stay.select(*columns).toDF(*docs.columns)
+    alone = stay.join(several, key, "left_anti")
+    once = stay.join(several, key, "left_semi").dropDuplicates(["_id", "_hash"])
+    return alone.unionByName(once).select(*columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

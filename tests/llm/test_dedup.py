@@ -159,6 +159,34 @@ def test_keep_one_keeps_columns(make):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_keep_one_drops_rows_not_ids(spark):
+    x, lone, near = prose(1, 60), prose(2, 60), prose(1, 58)
+    rows = [(1, x, 5), (4, x, 6), (4, lone, 7), (9, near, 8), (9, near, 8), (11, lone, 1), (12, prose(3, 40), 2), (12, prose(3, 40), 3), (None, x, 0), (None, x, 0), (20, "", 1), (20, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long").withColumnsRenamed({}).selectExpr("doc_id", "text", "gone", "gone as kept", "gone as text_hash", "gone as _id")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(1, x), (4, lone), (12, prose(3, 40)), (None, x), (None, x), (20, ""), (20, "")])
+
+
+def test_strangers_are_held_against_all(make, monkeypatch):
+    """A large group whose members are connected, and a few that reach it through another member than the hub."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    base = prose(50, 200).split()
+    edit = lambda words, n, seed: [w if k % n else prose(1000 * seed + k, 1) for k, w in enumerate(words)]
+    step = edit(base, 40, 1)
+    rows = [(k, " ".join(base[: 200 - k % 4])) for k in range(30)] + [(100 + k, " ".join(edit(step, 45, k + 2))) for k in range(12)] + [(90, " ".join(step))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(make(rows)).collect()}
+    assert got == plain_near(rows)
+
+
+def test_full_buckets_are_not_gathered(make, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_FULL", 8)
+    rows = near_rows()[40:]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(make(rows)).collect()}
+    assert got == plain_near(rows)
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(1)
     shared, total = 600, 800
