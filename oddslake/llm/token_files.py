@@ -7,7 +7,8 @@ of the public zstandard seekable format: compressed size, plain size and checksu
 bits of XXH64) of each frame. A reader takes the table from the end of the file, then the
 index, and decompresses only the frames of the documents asked for.
 
-Documents are dealt to files by ranges of doc_id, so files in order are documents in order.
+Spark deals documents to files by ranges of doc_id, so files in order are documents in order;
+a task encodes the documents of its range and writes them at once.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import fresh_path, read_table, slices
+from oddslake.llm.common import bound_batches, fresh_path, read_table, slices
 from oddslake.llm.pieces import tokenizer_path
 
 #: Of the seekable format (fixed values).
@@ -36,8 +38,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 #: Plain bytes after which a data frame ends; a longer document has a frame of its own.
 FRAME_BYTES = 256 * 1024
-#: Documents in a file, about.
-FILE_DOCS = 8192
+#: Documents in a file, about, and ranges of ids at most; beyond that a range is written as several files.
+FILE_DOCS, MOST_RANGES = 8192, 20_000
 #: Words kept by one Python worker.
 MOST_KEPT = 600_000
 LONGEST_KEPT = 48
@@ -228,9 +230,10 @@ def _encoder(path: str) -> WordEncoder:
 
 
 class TokenFile(NamedTuple):
-    """A finished file, and how many documents and ids it holds."""
+    """A finished file: its range and its number in it, and how many documents and ids it holds."""
 
-    bucket: int
+    part: int
+    number: int
     path: str
     n_docs: int
     n_ids: int
@@ -241,56 +244,48 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_docs:
 
     ``folder`` is a URI that all executors reach. Every document's ids end with ``end_id``.
     A null text counts as an empty one. Null ids come first. Rows with the same id are
-    ordered by their ids' bytes. Each attempt of a task writes a file of its own, and only
-    the files of the attempts that succeeded are returned, one short row each. An empty
-    table gives no files. Other columns are not read.
+    ordered by a hash of their texts, so they may be many: Spark cuts the ranges by id and
+    hash, and rows equal in both wherever it likes. Each attempt of a task writes files of
+    its own, and only the files of the attempts that succeeded are returned, one short row
+    each. An empty table gives no files. Other columns are not read.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     rows = docs.count()
     if not rows:
         return []
-    files = max(1, -(-rows // file_docs))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 20 * files)).first()[0] if files > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for batch in slices(whole, "text", 1_000_000):
-                ids = [x + end for x in encoder.encode([x or "" for x in batch.column("text").to_pylist()])]
-                doc_ids = batch.column("doc_id").cast(pa.int64())
-                bucket = np.searchsorted(cuts, doc_ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), doc_ids, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
+    ranges = min(MOST_RANGES, max(1, -(-rows // file_docs)))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = sink = bucket = path = None
-        counts = [0, 0]
+        encoder, end, part = _encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        done, writer, sink = [], None, None
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> None:
             writer.finish()
             sink.close()
-            return pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, "n_docs": counts[0], "n_ids": counts[1]}], schema=pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            done.append({"part": part, "number": len(done), "path": path, "n_docs": len(writer.index), "n_ids": sum(x[2] for x in writer.index)})
 
-        for batch in batches:
-            for at, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids")), strict=True):
-                if at != bucket:
-                    if writer is not None:
-                        yield finish()
-                    bucket, counts = at, [0, 0]
-                    path = f"{folder}/part-{at:06d}-{uuid.uuid4().hex}.zst"
-                    system, inner = fs.FileSystem.from_uri(path)
-                    system.create_dir(os.path.dirname(inner), recursive=True)
-                    sink = system.open_output_stream(inner, compression=None)
-                    writer = FileWriter(sink)
-                writer.add(doc_id, ids)
-                counts[0] += 1
-                counts[1] += len(ids) // 4
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                    if writer is not None and len(writer.index) >= 2 * file_docs:
+                        finish()
+                        writer = None
+                    if writer is None:
+                        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
+                        system, inner = fs.FileSystem.from_uri(path)
+                        system.create_dir(os.path.dirname(inner), recursive=True)
+                        sink = system.open_output_stream(inner, compression=None)
+                        writer = FileWriter(sink)
+                    writer.add(doc_id, ids + end)
         if writer is not None:
-            yield finish()
+            finish()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").mapInArrow(encoded, "bucket int, doc_id long, ids binary")
-    ordered = ordered.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    done = ordered.mapInArrow(filed, "bucket int, path string, n_docs long, n_ids long").collect()  # a row a file
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), "text_hash", "row"]
+    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    done = ordered.mapInArrow(filed, "part int, number int, path string, n_docs long, n_ids long").collect()  # a row a file
     return sorted(TokenFile(*r) for r in done)
 
 
@@ -304,7 +299,8 @@ def read(spark: SparkSession, files: list[TokenFile], wanted: list[int] | None =
     for x in files:
         rows.append((x.path, before))
         before += x.n_ids
-    table = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)), "path")
+    numbered = [(k, *row) for k, row in enumerate(rows)]
+    table = spark.createDataFrame(numbered, "k int, path string, before long").repartitionById(min(MOST_RANGES, max(1, len(rows))), F.col("k") % MOST_RANGES).drop("k")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,6 +65,16 @@ def test_token_files_round_trip(spark, make, odd_rows, tmp_path):
     assert some == {i: x for i, _, x in encoded(rows) if i in (105, 1010)}
 
 
+def test_token_files_of_one_id(spark, make, tmp_path):
+    rows = [(None, prose(k % 50, 20)) for k in range(400)] + [(7, prose(k, 5)) for k in range(200)]
+    files = token_files.write(make(rows), f"file://{tmp_path}", WORDS, 1, file_docs=40)
+    assert len(files) > 5 and max(x.n_docs for x in files) <= 150
+    got = sorted(((r["start"], r["doc_id"], bytes(r["ids"])) for r in token_files.read(spark, files).collect()), key=lambda r: r[0])
+    assert [i for _, i, _ in got] == [None] * 400 + [7] * 200
+    assert [s for s, *_ in got] == np.cumsum([0, *(len(x) // 4 for *_, x in got[:-1])]).tolist()
+    assert Counter((i, x) for _, i, x in got) == Counter((i, x) for i, _, x in encoded(rows))
+
+
 def test_readers_decompress_only_what_they_need_and_notice_damage(tmp_path):
     path = tmp_path / "x.zst"
     with path.open("wb") as sink:
