@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import SPACE_CHARS, bound_batches, fresh_path, read_table, remove, slices, text_or_empty, written
+from oddslake.llm.common import SPACE_CHARS, bound_batches, read_table, slices, text_or_empty, written
 
 #: Filter bits for each line, and the least and most bits of a filter (64 MB).
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 29
@@ -30,11 +30,11 @@ BITS_A_LINE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 29
 PROBES = 4
 #: A filter is merged in so many parts.
 SEGMENTS = 16
-#: Repeated keys that one pass over the texts looks up (32 bytes each); more take more passes.
-KEYS_A_PASS = 2_000_000
+#: Repeated keys that are broadcast at most (32 bytes each). Of more, the frequent ones are broadcast and the others meet their lines by a shuffle.
+MOST_KEYS = 2_000_000
 
 _KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
-#: Column of the lines that earlier passes have marked.
+#: Column of the line numbers that the shuffle has found.
 _GONE = "_gone_lines"
 
 
@@ -126,11 +126,11 @@ def twice_seen(docs: DataFrame, least_chars: int) -> Bloom:
     return Bloom(bits, held if merged else None)
 
 
-def repeated_keys(docs: DataFrame, least_docs: int, least_chars: int) -> DataFrame:
-    """(hi, lo, n_docs, first) of the keys found in at least ``least_docs`` documents; first is (doc_id, line number)."""
-    spark = docs.sparkSession
-    suspects = twice_seen(docs, least_chars) if least_docs > 1 else None
-    held = spark.sparkContext.broadcast(suspects)  # at most MOST_BITS
+def repeated_keys(docs: DataFrame, held: Broadcast, least_docs: int, least_chars: int) -> DataFrame:
+    """(hi, lo, n_docs, first) of the keys found in at least ``least_docs`` documents; first is (doc_id, line number).
+
+    ``held`` is a filter that has all keys of two documents or more, or None.
+    """
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,49 +158,71 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
     lines that stay joined by line ends, and n_lines (before) and n_dropped (long), which
     replace columns of these names.
 
-    A null or empty text is one empty line and comes back empty. Rows are documents, so
+    A null or empty text is one empty line and comes back empty. Very long texts are worked
+    on whole. Rows are documents, so
     repeated rows and repeated or null ids count each. An empty table gives an empty
     result.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     bound_batches(docs.sparkSession)
-    found = written(repeated_keys(docs, least_docs, least_chars), "repeated-lines")
-    total = found.count()
-    passes = max(1, -(-total // KEYS_A_PASS))
+    suspects = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least_chars) if least_docs > 1 else None)  # at most MOST_BITS
+    found = written(repeated_keys(docs, suspects, least_docs, least_chars), "repeated-lines")
+    total, places = found.agg(F.count("*"), F.sum("n_docs")).first()
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     out = docs.select(*others).withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
-    if passes > 1:
-        out = out.withColumn(_GONE, F.lit(None).cast("binary"))
-    earlier = None
-    for k in range(passes):
-        part = found if passes == 1 else found.where(F.pmod(F.col("lo"), F.lit(passes)) == k)
-        out, held = _without(out, part.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), least_chars, keep, k + 1 == passes)
-        if k + 1 < passes:  # one pass's keys are held at a time, and two tables at most
-            path = fresh_path(docs.sparkSession, "line-marks")
-            out.write.parquet(path)
-            held.destroy()
-            out = docs.sparkSession.read.schema(out.schema).parquet(path)
-            if earlier is not None:
-                remove(docs.sparkSession, earlier)
-            earlier = path
-    return out.drop(_GONE)
-
-
-def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last: bool) -> tuple[DataFrame, Broadcast]:
-    """One pass over the texts with the given keys, about KEYS_A_PASS of them, and its broadcast.
-
-    Passes but the last leave the texts as they are, so that line numbers stay those of the
-    whole text, and only mark lines; the last one drops what any pass has marked.
-    """
-    rows = keys.toPandas()
+    if total <= MOST_KEYS:
+        return _without(out, found, least_chars, keep)
+    frequent = F.col("n_docs") * MOST_KEYS > places  # fewer than MOST_KEYS, as each has more than its share of the places
+    return _without(_with_marks(out, found.where(~frequent), suspects, least_chars, keep), found.where(frequent), least_chars, keep).drop(_GONE)
+
+
+def _held(keys: DataFrame) -> Broadcast:
+    """A broadcast of at most MOST_KEYS keys in order, with the document and line of the first of each."""
+    rows = keys.select("hi", "lo", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).toPandas()
     table = np.empty(len(rows), _KEY)
     table["hi"], table["lo"] = rows["hi"], rows["lo"]
     order = np.argsort(table)
     kept_doc = rows["doc_id"].astype("Int64").to_numpy(dtype=np.int64, na_value=-(2**63))[order]
     kept_line = rows["line"].to_numpy(np.int64)[order] if len(rows) else np.empty(0, np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((table[order], kept_doc, kept_line))
-    several = _GONE in docs.columns
+    return keys.sparkSession.sparkContext.broadcast((table[order], kept_doc, kept_line))
+
+
+def _with_marks(docs: DataFrame, keys: DataFrame, suspects: Broadcast, least_chars: int, keep: str) -> DataFrame:
+    """``docs`` with the numbers of the lines that have one of ``keys``, in a column _GONE (null without any).
+
+    Keys and suspected lines meet by a shuffle of hashes; no key is in many documents, as the frequent
+    ones are dealt with by broadcast. Rows of one doc_id and text lose the same lines, so
+    the pair names them.
+    """
+    name = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_hash"), F.octet_length("text").alias("_size")]
+    schema = "_id long, _hash long, _size int, hi long, lo long, line int"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = Lines(batch.column("text"), least_chars)
+                at = np.flatnonzero(found.counts)
+                if suspects.value is not None:
+                    at = at[suspects.value.has(found.keys[at])]
+                doc = pa.array(found.doc[at])
+                columns = [*(batch.column(c).take(doc) for c in ("_id", "_hash", "_size")), pa.array(found.keys["hi"][at]), pa.array(found.keys["lo"][at]), pa.array(found.number[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_hash", "_size", "hi", "lo", "line"])
+
+    lines = docs.select("text", *name).mapInArrow(listed, schema).join(keys.select("hi", "lo", "first"), ["hi", "lo"])
+    if keep == "first":
+        kept = (F.col("_id") == F.coalesce("first.doc_id", F.lit(-(2**63)))) & (F.col("line") == F.col("first.line"))
+        lines = lines.where(~kept)
+    marks = lines.groupBy("_id", "_hash", "_size").agg(F.collect_set("line").alias(_GONE))  # at most a document's lines
+    marks = written(marks, "line-marks").select(*[F.col(c).alias(f"_m{c}") for c in ("_id", "_hash", "_size")], _GONE)
+    same = (name[0] == F.col("_m_id")) & name[1].eqNullSafe(F.col("_m_hash")) & name[2].eqNullSafe(F.col("_m_size"))
+    return docs.join(marks, same, "left").select(*docs.columns, _GONE)
+
+
+def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str) -> DataFrame:
+    """``docs`` without the lines of ``keys``, at most MOST_KEYS of them, and without those numbered in a column _GONE."""
+    held = _held(keys)
+    marked = _GONE in docs.columns
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept_docs, kept_lines = held.value
@@ -214,18 +236,14 @@ def _without(docs: DataFrame, keys: DataFrame, least_chars: int, keep: str, last
                     if keep == "first":
                         ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
                         gone &= (kept_docs[at] != ids[found.doc]) | (kept_lines[at] != found.number)
-                if several and batch.column(_GONE).null_count == 0:
-                    gone |= np.frombuffer(b"".join(batch.column(_GONE).to_pylist()), bool)
-                yield _replaced(batch, found, gone) if last else _marked(batch, found, gone)
-
-    return docs.mapInArrow(drop, docs.schema), held
-
-
-def _marked(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.RecordBatch:
-    """``batch`` with a byte for each line of a text: whether it goes."""
-    offsets = np.concatenate([[0], np.cumsum(found.per_doc)]).astype(np.int32)
-    marks = pa.Array.from_buffers(pa.binary(), len(found.per_doc), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gone.tobytes())])
-    return pa.RecordBatch.from_arrays([marks if c == _GONE else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+                if marked:
+                    starts = np.cumsum(found.per_doc) - found.per_doc
+                    for start, lines in zip(starts, batch.column(_GONE).to_pylist(), strict=True):
+                        if lines:
+                            gone[start + np.array(lines)] = True
+                yield _replaced(batch, found, gone)
+
+    return docs.mapInArrow(drop, docs.schema)
 
 
 def _replaced(batch: pa.RecordBatch, found: Lines, gone: np.ndarray) -> pa.RecordBatch:

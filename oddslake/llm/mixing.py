@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, share: float, most_repeats: int, weights: t
 
     Sources take ``share`` of all sizes by weight, each at most ``most_repeats`` times its
     own size. A source meets its cap when the common level passes cap / weight, so in order
-    of that ratio the level follows from running sums. The table has one row per source.
+    of that ratio the level follows from running sums. The table has one row per source and
+    is worked out in one task, which holds for thousands of sources, not for millions.
     """
     every = Window.partitionBy(F.lit(0))
     by_name = every.orderBy(F.col("source").asc_nulls_last())
@@ -183,7 +184,14 @@ def mix(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: tup
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it; all columns are kept, and tell rows with one id apart."""
+    """The rows of ``docs``, each as often as ``mix`` takes it; all columns are kept, and tell rows with one id apart.
+
+    Null and empty texts count as texts without words: they are taken as their hash says
+    and change no size. Null sources are a source of their own. Very long texts are taken or
+    left whole. Rows equal in all columns are counted, and so many are taken as come
+    nearest. An empty table gives an empty result. Columns named _mix_... or _copies are not
+    expected.
+    """
     _, plan = _plan(docs, docs.columns, share, most_repeats, weights)
     plan = _named(plan)
     joined = docs.join(_maybe_broadcast(plan), docs["source"].eqNullSafe(F.col("_mix_source")))

@@ -34,9 +34,9 @@ def test_lines_keep_the_first_and_short_keys(make):
     assert got[0] == "same line\nown 0\nok" and got[3] == "own 3\nok"
 
 
-def test_lines_in_several_passes_and_with_a_full_filter(make, monkeypatch):
+def test_lines_by_shuffle_and_with_a_full_filter(make, monkeypatch):
     rows = [(k, "\n".join(f"line {j}" for j in range(k % 7, k % 7 + 5)) + f"\nown {k}") for k in range(80)]
-    monkeypatch.setattr(line_dedup, "KEYS_A_PASS", 3)
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", 3)
     monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 8)
     monkeypatch.setattr(line_dedup, "LEAST_BITS", 1 << 8)
     got = line_dedup.dedup_lines(make(rows), least_docs=10).select("doc_id", "text", "n_lines", "n_dropped").collect()
@@ -58,19 +58,20 @@ def plain_first_lines(rows, least_docs):
     return out
 
 
-def test_lines_keep_the_first_in_several_passes(make, monkeypatch):
+def test_lines_keep_the_first_by_shuffle(make, monkeypatch):
     rows = [(k, "\n".join(f"line {j}" for j in range(k % 7, k % 7 + 5)) + f"\nown {k}\nline {k % 7 + 1}\n\nline {k % 3}") for k in range(80)]
-    monkeypatch.setattr(line_dedup, "KEYS_A_PASS", 3)
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", 3)
     got = line_dedup.dedup_lines(make(rows), least_docs=10, keep="first").select("doc_id", "text", "n_lines", "n_dropped").collect()
     assert Counter(map(tuple, got)) == Counter(plain_first_lines(rows, 10))
 
 
-def test_only_the_last_pass_is_left_to_run(make, monkeypatch):
-    rows = [(k, "\n".join(f"line {j}" for j in range(9))) for k in range(20)]
-    monkeypatch.setattr(line_dedup, "KEYS_A_PASS", 3)
-    out = line_dedup.dedup_lines(make(rows), least_docs=10)
-    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
-    assert {r["n_dropped"] for r in out.collect()} == {9}
+def test_lines_of_odd_rows_by_shuffle(make, odd_rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", 2)
+    rows = odd_rows + [(None if k % 3 else k % 4, "\n".join(f"Line {j} " for j in range(k % 5, 9)) + f"\nown {k % 20}") for k in range(60)] + [(None, None)] * 3
+    docs = make(rows)
+    got = line_dedup.dedup_lines(docs, least_docs=10).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_lines(rows, 10))
+    assert [c for c in line_dedup.dedup_lines(docs).columns if c not in ("n_lines", "n_dropped")] == docs.columns
 
 
 def test_lines_of_an_empty_table(make):
