@@ -39,6 +39,8 @@ ID_BUCKETS = 1 << 20
 BLOCK = 512
 #: Fewer buckets than this are so full that their hub is broadcast (16 bytes each).
 MOST_FULL = 20_000
+#: Regions or buckets of several roots whose shape is broadcast at most (40 bytes each).
+MOST_SHAPES = 500_000
 #: Words whose hashes one Python worker keeps.
 MOST_KEPT = 150_000
 
@@ -361,6 +363,12 @@ def _regions(cells: DataFrame) -> DataFrame:
     return written(cells.select("key", "doc_id").join(keyed, "key").groupBy("doc_id").agg(F.min("region").alias("region")), "near-regions")
 
 
+def _beside(members: DataFrame, shape: DataFrame, key: str) -> DataFrame:
+    """``members`` joined with ``shape``, one row a ``key``: by broadcast while that is small, so that full groups are not gathered."""
+    shape = written(shape, "near-shape")
+    return members.join(F.broadcast(shape) if small_enough(shape, MOST_SHAPES) else shape, key)
+
+
 def _largest(members: DataFrame, group: str, part: str) -> DataFrame:
     """(group, main, n): the most frequent ``part`` of each group and the group's size, for groups of several parts; on ties the smallest."""
     counts = members.groupBy(group, part).agg(F.count("*").alias("own"))
@@ -374,7 +382,7 @@ def _pairs_across(members: DataFrame) -> DataFrame:
     once, in parts of about BLOCK; only those outside its largest region go to every part.
     So the work on a bucket is its size times the number of strangers in it.
     """
-    members = members.join(_largest(members, "key", "region"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    members = _beside(members, _largest(members, "key", "region"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
     x = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     y = members.where(F.col("region") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     columns = lambda df, s: df.select("key", "part", *(F.col(c).alias(c + s) for c in ("doc_id", "root", "region", "sig")))
@@ -393,9 +401,9 @@ def _links_in_regions(texts: Texts, members: DataFrame) -> DataFrame:
     """
     members = written(members, "near-members")
     shape = _largest(members, "region", "root")
-    own = members.join(shape.select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
+    own = _beside(members, shape.select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
     counts = own.groupBy("region").agg(F.ceil(F.count_if("is_main") / BLOCK).alias("main_parts"), F.ceil(F.count_if(~F.col("is_main")) / BLOCK).alias("other_parts"))
-    parts = own.join(counts, "region").join(texts.shingle_sets(own.select("doc_id")), "doc_id")
+    parts = _beside(own, counts, "region").join(texts.shingle_sets(own.select("doc_id")), "doc_id")
     slot = F.xxhash64("doc_id")
     parts = parts.withColumn("sub", F.when(F.col("is_main"), F.col("other_parts") + F.pmod(slot, "main_parts")).otherwise(F.pmod(slot, "other_parts")))
     every = F.when(F.col("is_main"), F.col("other_parts")).otherwise(F.col("other_parts") + F.col("main_parts"))
