@@ -15,7 +15,7 @@ RULES: dict[str, dict[str, str]] = {
     "matches": {"sides-differ": "home_id <> away_id", "format": "format is null or format in ('BO1', 'BO3', 'BO5')"},
     "snapshots": {"time-order": "started_at <= finished_at", "phase": "phase in ('prematch', 'live')"},
     "events": {"stop-reason": "(stopped_at is null) = (stop_reason is null)"},
-    "results": {"map-number": "case when kind = 'match_winner' then map_number is null else map_number between 1 and 5 end"},
+    "results": {"map-number": "case when kind = 'match_winner' then map_number is null else coalesce(map_number between 1 and 5, false) end"},
 }
 
 

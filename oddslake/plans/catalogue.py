@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oddslake.plans import grouped, joined, ordered, scalar
+from oddslake.plans import grouped, history, identity, joined, ordered, scalar
 
-_ALL = ordered.QUERIES | joined.QUERIES | grouped.QUERIES | scalar.QUERIES
+_ALL = ordered.QUERIES | joined.QUERIES | grouped.QUERIES | scalar.QUERIES | history.QUERIES | identity.QUERIES
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

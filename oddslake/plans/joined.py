@@ -143,13 +143,18 @@ def _repeated_signatures(signed):
 
 
 def signature_join(spark, sf_dir):
-    """Orders of at most two lines only, as its SQL asks; signature_match takes orders of any size."""
-    return _repeated_signatures(_signed(table(spark, sf_dir, "lineitem")).where("n <= 2"))
+    """Every order with a signature that others share, and the only other one if there is just one."""
+    signed = _signed(table(spark, sf_dir, "lineitem")).drop("n")
+    ends = [F.count("*").alias("n_orders"), F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order")]
+    rows = signed.join(signed.groupBy("signature").agg(*ends).where("n_orders > 1"), "signature")
+    other = F.when(F.col("n_orders") == 2, F.when(F.col("l_orderkey") == F.col("first_order"), F.col("last_order")).otherwise(F.col("first_order")))
+    return rows.select("l_orderkey", "signature", "n_orders", other.alias("only_match"))
 
 
 SIGNATURE_JOIN = """
-WITH s AS (SELECT l_orderkey, sha256(string_agg(s, '|' ORDER BY s)) AS signature, count(*) AS n FROM (SELECT l_orderkey, concat_ws(':', l_linenumber, l_returnflag, l_linestatus) AS s FROM lineitem) GROUP BY l_orderkey)
-SELECT signature, count(*) AS n_orders, min(l_orderkey) AS first_order FROM s WHERE n <= 2 GROUP BY signature HAVING count(*) > 1"""
+WITH s AS (SELECT l_orderkey, sha256(string_agg(s, '|' ORDER BY s)) AS signature FROM (SELECT l_orderkey, concat_ws(':', l_linenumber, l_returnflag, l_linestatus) AS s FROM lineitem) GROUP BY l_orderkey),
+g AS (SELECT signature, count(*) AS n_orders, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM s GROUP BY 1 HAVING count(*) > 1)
+SELECT l_orderkey, signature, n_orders, CASE WHEN n_orders = 2 THEN lo + hi - l_orderkey END AS only_match FROM s JOIN g USING (signature)"""
 
 
 def signature_match(spark, sf_dir):
@@ -162,14 +167,14 @@ SELECT signature, count(*) AS n_orders, min(l_orderkey) AS first_order FROM s GR
 
 
 def set_ops(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    kinds = {"union": customers.union(buyers).distinct(), "difference": customers.subtract(buyers), "intersection": customers.intersect(buyers)}
-    out = None
-    for kind, rows in kinds.items():
-        counted = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
-        out = counted if out is None else out.union(counted)
-    return out
+    """Union, difference and intersection of two key sets, from one grouping of tagged keys."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    keys = customers.union(buyers).groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    kinds = {"union": F.lit(True), "difference": (F.col("a") == 1) & (F.col("b") == 0), "intersection": (F.col("a") == 1) & (F.col("b") == 1)}
+    sums = keys.agg(*[x for kind, p in kinds.items() for x in (F.count_if(p).alias(f"{kind}_n"), F.coalesce(F.sum(F.when(p, F.col("k"))), F.lit(0)).alias(f"{kind}_total"))])
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_n").alias("n"), F.col(f"{kind}_total").alias("total")) for kind in kinds])
+    return sums.select(F.inline(rows))
 
 
 SET_OPS = """
@@ -181,13 +186,13 @@ UNION ALL SELECT 'intersection', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) F
 
 def catalog_merge(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.concat(F.lit("live "), F.col("c_mktsegment")).alias("name")).distinct()
-    nations = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").where("n_name < 'J'").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     quarantined = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 5).alias("id"))
     return matching.by_precedence([nations, customers], ["id"]).join(quarantined, "id", "left_anti").select("id", "name")
 
 
 CATALOG_MERGE = """
-WITH a AS (SELECT n_nationkey AS id, n_name AS name, 0 AS p FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT DISTINCT c_nationkey, 'live ' || c_mktsegment, 1 FROM customer)
+WITH a AS (SELECT n_nationkey AS id, n_name AS name, 0 AS p FROM nation WHERE n_name < 'J' UNION ALL SELECT DISTINCT c_nationkey, 'live ' || c_mktsegment, 1 FROM customer)
 SELECT id, name FROM a WHERE id NOT IN (SELECT r_regionkey * 5 FROM region) QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, name) = 1"""
 
 

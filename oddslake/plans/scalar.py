@@ -98,8 +98,8 @@ SHA_FINGERPRINT = "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS
 
 def dedup_first_seen(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    first = docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"))
-    return first.join(docs.select("doc_id", "lang", "n_chars"), "doc_id")
+    first = docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min(F.struct("doc_id", "lang", "n_chars")).alias("first"))
+    return first.select("first.doc_id", "sha256", "first.lang", "first.n_chars")
 
 
 DEDUP_FIRST_SEEN = "SELECT doc_id, sha256(text) AS sha256, lang, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"

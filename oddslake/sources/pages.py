@@ -77,16 +77,21 @@ def sports_events(pages: DataFrame) -> DataFrame:
 
 
 def flight_records(html: str) -> dict[str, object]:
-    """Records of a React stream: ``key:json`` lines, and text records ``key:Tbytes,`` of a hexadecimal byte length."""
+    """Records of a React stream: ``key:json`` lines, and text records ``key:Tbytes,`` of a hexadecimal byte length.
+
+    ValueError if a record has no key or is cut off.
+    """
     stream = "".join(json.loads(x) for x in re.findall(r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)', html or ""))
     raw, at, out = stream.encode(), 0, {}
     while at < len(raw):
         head = re.compile(rb"([0-9a-f]+):(?:T([0-9a-f]+),)?").match(raw, at)
         if not head:
-            break
+            raise ValueError("a record of the page's stream has no key")
         key = head[1].decode()
         if head[2]:
             end = head.end() + int(head[2], 16)
+            if end > len(raw):
+                raise ValueError("a record of the page's stream is cut off")
             out[key] = raw[head.end() : end].decode(errors="replace")
             at = end
             continue
