@@ -16,6 +16,7 @@ encoded once.
 from __future__ import annotations
 
 import functools
+import math
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -78,7 +79,26 @@ class PieceVocabulary:
         self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
 
     def merge(self, part: str) -> list[str]:
-        """The symbols of ``part`` when no adjacent pair is a piece any more."""
+        """The symbols of ``part`` when no adjacent pair is a piece any more.
+
+        A short part's agenda is a list with the rank of each adjacent pair in place; a long
+        one's a heap, as a list would be searched too often.
+        """
+        if len(part) > LONGEST_KEPT:
+            return self._merge_long(part)
+        rank, never = self.rank.get, math.inf
+        symbols, agenda = list(part), [rank(pair, never) for pair in map(str.__add__, part, part[1:])]
+        while agenda and (best := min(agenda)) < never:
+            i = agenda.index(best)  # the leftmost of the best
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], never)
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], never)
+        return symbols
+
+    def _merge_long(self, part: str) -> list[str]:
         rank = self.rank.get
         symbols = list(part)
         n = len(symbols)
@@ -100,14 +120,11 @@ class PieceVocabulary:
         return [x for x in symbols if x]
 
     def ids(self, part: str) -> list[int]:
-        out: list[int] = []
-        for symbol in self.merge(part):
-            found = self.id.get(symbol)
-            if found is None:
-                out.extend(self.byte_id[b] for b in symbol.encode())
-            else:
-                out.append(found)
-        return out
+        symbols = self.merge(part)
+        known = list(map(self.id.get, symbols))
+        if None not in known:
+            return known
+        return [i for x, found in zip(symbols, known, strict=True) for i in ([found] if found is not None else map(self.byte_id.__getitem__, x.encode()))]
 
     def needs_check(self, text: str, ids: np.ndarray) -> bool:
         """Whether decoding is more than putting pieces side by side: bytes beyond ASCII, or blanks or marks at an end."""
@@ -148,12 +165,12 @@ class _Parts(dict):
         return BLANK * len(key) if not key.strip(" ") else BLANK + key.replace(" ", BLANK)
 
     def __missing__(self, key: str) -> bytes:
-        part, joined, start, out = self.marked(key), self.vocabulary.joined, 0, []
-        for k in range(1, len(part)):
-            if part[k - 1 : k + 1] not in joined:
-                out.append(self._run(part[start:k]))
-                start = k
-        found = b"".join(out) + self._run(part[start:])
+        part, joined = self.marked(key), self.vocabulary.joined
+        cuts = [k for k, pair in enumerate(map(str.__add__, part, part[1:]), 1) if pair not in joined]
+        if cuts:
+            found = b"".join([self._run(part[i:k]) for i, k in zip([0, *cuts], [*cuts, len(part)], strict=True)])
+        else:
+            found = self._run(part)
         if len(key) <= LONGEST_KEPT:
             self[key] = found
         if key != " ":

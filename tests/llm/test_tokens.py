@@ -141,3 +141,19 @@ def test_piece_query_on_every_document(spark, sf_dir):
     want = Counter((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, text in docs.select("doc_id", "text").collect() for ids in [library.encode(text or "")])
     got = pieces.query(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_both_agendas_merge_alike():
+    vocabulary = pieces.PieceVocabulary(MODEL)
+    for k in range(300):
+        part = "▁" + prose(k, 8).replace(" ", "")[: pieces.LONGEST_KEPT - 1]
+        assert vocabulary.merge(part) == vocabulary._merge_long(part)
+
+
+def test_the_list_of_fresh_parts_empties():
+    parts = pieces._Parts(pieces.PieceVocabulary(MODEL))
+    for k in range(4):
+        parts.encode(f"{'x' * 60}{k} {'abc' * 40} word {prose(k, 30)}")
+        assert parts.fresh
+        parts.check_fresh()
+        assert parts.fresh == []
