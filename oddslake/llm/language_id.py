@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import bound_batches, read_table, remainder_of_id, slices, text_or_empty, written
+from oddslake.llm.common import bound_batches, read_table, remainder_of_id, slices, small_enough, text_or_empty, written
 
 #: Hash bits of a feature, and the longest n-gram.
 BITS, LONGEST = 15, 3
 #: The sample that the weights are learnt from: documents of a language, and of all.
 SAMPLE_A_LANGUAGE, SAMPLE = 400, 2000
+#: Languages whose bounds are broadcast at most (40 bytes each).
+MOST_BROADCAST_LANGUAGES = 100_000
 #: Follow-the-regularised-leader: step, its start, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.01, 4
 #: Features of a text sum to about SCALE times their mean inverse frequency.
@@ -166,7 +168,8 @@ def sample(docs: DataFrame, a_language: int = SAMPLE_A_LANGUAGE, most: int = SAM
     room = a_language + 8 * int(a_language**0.5) + 16  # eight standard deviations more than are wanted
     bound = F.lpad(F.hex(F.floor(F.lit(float(1 << 52)) * F.least(F.lit(1.0), room / F.col("hashes")))), 14, "0")  # as are the first 13 of 32 digits, and one before
     bounds = distinct.groupBy("lang").agg(F.count("*").alias("hashes")).select("lang", F.lower(bound).alias("bound"))
-    few = distinct.join(bounds, "lang").where(F.concat(F.lit("0"), F.substring("h", 1, 13)) < F.col("bound")).drop("bound")
+    bounds = written(bounds, "language-bounds")
+    few = distinct.join(F.broadcast(bounds) if small_enough(bounds, MOST_BROADCAST_LANGUAGES) else bounds, "lang").where(F.concat(F.lit("0"), F.substring("h", 1, 13)) < F.col("bound")).drop("bound")
     by_hash = Window.partitionBy("lang").orderBy("h")
     first = few.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= a_language)
     upto = F.least(F.sum("n").over(by_hash), F.lit(a_language))
