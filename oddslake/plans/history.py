@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from oddslake.functions import moments
@@ -9,6 +12,7 @@ from oddslake.operators import contracts
 from oddslake.plans import odds, series, simulation
 from oddslake.sources import ingest
 from oddslake.sources.tables import table
+from oddslake.streaming import live
 
 _PRICE = "CAST(1 + CAST(o_totalprice AS DECIMAL(18,2)) * 0.0001 AS DECIMAL(16,6))"
 
@@ -258,7 +262,28 @@ SELECT o_orderkey, CASE k WHEN 0 THEN s WHEN 1 THEN s - 7200 END AS strict, CASE
 FROM o"""
 
 
+def stream_latest(spark, sf_dir):
+    """Each user's newest event, kept by micro-batches over the event files that are there now."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oddslake-")
+    folder = f"{shared.rstrip('/')}/stream-latest-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").schema
+    stream = live.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    batches, versions = live.upsert_batches(f"{folder}/table", ["user_id"], "ts"), []
+
+    def keep(batch, batch_id):
+        batches(batch, batch_id)
+        versions.append(batch_id + 1)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/table/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+STREAM_LATEST = "SELECT event_id, ts, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
 QUERIES = {
+    "stream_latest": (stream_latest, STREAM_LATEST),
     "simulate_summary": (simulate_summary, SIMULATE_SUMMARY),
     "simulate_curve": (simulate_curve, SIMULATE_CURVE),
     "broken_records": (broken_records, BROKEN_RECORDS),
