@@ -4,7 +4,8 @@ The encoder keeps an agenda of adjacent symbol pairs ordered by score: the best-
 (on ties the leftmost) is merged, its new neighbours join the agenda, until no pair is a
 piece. A text is first cut where no piece can reach across, which leaves the merges as
 they are and makes the parts short and frequent, so each part is merged once and kept.
-Decoding works on ids alone.
+The new short parts of a slice are merged side by side, each with its own agenda as a
+column of one array; longer ones have a heap. Decoding works on ids alone.
 
 Work is done in Arrow batches. In every batch these are compared with the sentencepiece
 library, and a difference raises an error: the parts met for the first time, one whole
@@ -16,10 +17,11 @@ encoded once.
 from __future__ import annotations
 
 import functools
-import math
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,16 @@ from oddslake.llm.common import bound_batches, read_table, slices
 
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
-#: Parts kept by one Python worker (about 250 bytes each); beyond it the store starts anew.
-MOST_KEPT = 200_000
-#: Longer parts are merged each time they occur and not kept.
+#: Parts kept by one Python worker (about 250 bytes each); beyond it those not met lately are forgotten.
+MOST_KEPT = 300_000
+#: Longer parts are merged in each slice that they occur in and not kept.
 LONGEST_KEPT = 48
+#: Parts merged side by side.
+MOST_ABREAST = 20_000
+#: An agenda's entry is a pair's place in the order of scores times this, so that its place in the part can be added.
+PLACES = 64
+#: The entry of a pair that is no piece; more than all others.
+NEVER = 1 << 30
 
 
 class PieceVocabulary:
@@ -77,26 +85,104 @@ class PieceVocabulary:
         self.text = [x.decode() if not self.is_byte[i] else "" for i, x in enumerate(self.surface)]
         #: Characters that stand side by side in some piece; a text may be cut between any others.
         self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        self._number_pairs()
+
+    def _number_pairs(self) -> None:
+        """Number the symbols that can occur, and tabulate the pairs of them that are pieces."""
+        #: Pieces and their characters; a symbol's number is its place.
+        self.symbols = list(dict.fromkeys([*self.rank, *(c for p in self.rank for c in p)]))
+        number = {x: i for i, x in enumerate(self.symbols)}
+        #: The number of each code point, less than -1 for those in no piece (-1 is no symbol at all).
+        self.number_of_point = -2 - np.arange(0x110000, dtype=np.int32)
+        for x, i in number.items():
+            if len(x) == 1:
+                self.number_of_point[ord(x)] = i
+        #: Ids by number, -1 for characters that are no pieces.
+        self.id_of_number = np.array([self.id.get(x, -1) for x in self.symbols], np.int32)
+        place = {score: i for i, score in enumerate(sorted(set(self.rank.values())))}
+        if (len(place) + 1) * PLACES >= NEVER:
+            raise ValueError("too many scores")
+        pairs = sorted(
+            (number[p[:k]] * len(number) + number[p[k:]], place[score] * PLACES, number[p])
+            for p, score in self.rank.items()
+            for k in range(1, len(p))
+            if p[:k] in number and p[k:] in number
+        ) or [(-1, NEVER, -1)]
+        keys, entries, whole = zip(*pairs, strict=True)
+        self.pair_keys, self.pair_entries, self.pair_whole = np.array([*keys, -1], np.int64), np.array([*entries, NEVER], np.int32), np.array([*whole, -1], np.int32)
+        #: The piece with a place in the order of scores, -1 if several have it.
+        self.whole_of_place = np.full(len(place) + 1, -1, np.int32)
+        for piece, score in self.rank.items():
+            self.whole_of_place[place[score]] = number[piece] if self.whole_of_place[place[score]] == -1 else -2
+        #: Open addressing: the pair in each slot, the last one (no pair) in empty slots.
+        self.slots = np.full(1 << max(12, len(keys).bit_length() + 3), len(keys), np.int32)
+        waiting = np.arange(len(keys), dtype=np.int32)
+        at = self._slot(self.pair_keys[:-1])
+        while len(waiting):
+            empty = self.slots[at] == len(keys)
+            self.slots[at[empty]] = waiting[empty]
+            left = self.slots[at] != waiting
+            waiting, at = waiting[left], (at[left] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each pair of symbols its place in the table of pairs; the last one for those that are no pieces."""
+        keys = left.astype(np.int64) * len(self.symbols) + right
+        keys[(left < 0) | (right < 0)] = -1
+        at = self._slot(keys)
+        found = self.slots[at]
+        none = len(self.pair_keys) - 1
+        wrong = np.flatnonzero((self.pair_keys[found] != keys) & (found != none))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.slots)
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(self.pair_keys[found[wrong]] != keys[wrong]) & (found[wrong] != none)]
+        return found
 
-    def merge(self, part: str) -> list[str]:
-        """The symbols of ``part`` when no adjacent pair is a piece any more.
+    def merge_abreast(self, parts: list[str]) -> np.ndarray:
+        """The symbols of parts of one length, at most LONGEST_KEPT, when no adjacent pair is a piece any more.
 
-        A short part's agenda is a list with the rank of each adjacent pair in place; a long
-        one's a heap, as a list would be searched too often.
+        A column of numbers for each part, filled up with -1. In each round every part
+        merges its best-scored pair, the leftmost on ties.
         """
+        width = len(parts[0])
+        symbols = self.number_of_point[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)].reshape(-1, width).T.copy()
+        if width == 1:
+            return symbols
+        agenda = self.pair_entries[self._pairs(symbols[:-1].ravel(), symbols[1:].ravel())].reshape(width - 1, -1)
+        places = np.arange(width - 1, dtype=np.int32)[:, None]
+        merged, own = symbols.copy(), np.arange(len(parts))
+        while len(own):
+            best = (agenda + places).min(axis=0)
+            live = best < NEVER
+            if not live.all():
+                merged[:, own[~live]] = symbols[:, ~live]
+                symbols, agenda, own, best = symbols[:, live], agenda[:, live], own[live], best[live]
+            at, column = best % PLACES, np.arange(len(own))
+            whole = self.whole_of_place[best // PLACES]
+            if (tied := np.flatnonzero(whole < 0)).size:
+                whole[tied] = self.pair_whole[self._pairs(symbols[at[tied], tied], symbols[at[tied] + 1, tied])]
+            later = places > at
+            np.copyto(symbols[:-1], symbols[1:], where=later)
+            symbols[-1] = -1
+            symbols[at, column] = whole
+            np.copyto(agenda[:-1], agenda[1:], where=later[:-1])
+            agenda[-1] = NEVER
+            right, left = np.flatnonzero(at < width - 1), np.flatnonzero(at > 0)
+            firsts, columns = np.concatenate([at[right], at[left] - 1]), np.concatenate([right, left])
+            agenda[firsts, columns] = self.pair_entries[self._pairs(symbols[firsts, columns], symbols[firsts + 1, columns])]
+        return merged
+
+    def _symbol(self, number: int) -> str:
+        return self.symbols[number] if number >= 0 else chr(-2 - number)
+
+    def merge(self, part: str) -> list[str]:
+        """The symbols of ``part`` when no adjacent pair is a piece any more."""
         if len(part) > LONGEST_KEPT:
             return self._merge_long(part)
-        rank, never = self.rank.get, math.inf
-        symbols, agenda = list(part), [rank(pair, never) for pair in map(str.__add__, part, part[1:])]
-        while agenda and (best := min(agenda)) < never:
-            i = agenda.index(best)  # the leftmost of the best
-            symbols[i] += symbols.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], never)
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], never)
-        return symbols
+        return [self._symbol(i) for i in self.merge_abreast([part])[:, 0].tolist() if i != -1]
 
     def _merge_long(self, part: str) -> list[str]:
         rank = self.rank.get
@@ -119,12 +205,36 @@ class PieceVocabulary:
                 heappush(agenda, (s, p, left, longer))
         return [x for x in symbols if x]
 
-    def ids(self, part: str) -> list[int]:
-        symbols = self.merge(part)
-        known = list(map(self.id.get, symbols))
-        if None not in known:
-            return known
-        return [i for x, found in zip(symbols, known, strict=True) for i in ([found] if found is not None else map(self.byte_id.__getitem__, x.encode()))]
+    def _spelt(self, symbols: list[str]) -> bytes:
+        """Ids, as bytes of 32-bit integers, of symbols; those that are no pieces as their bytes."""
+        return array("i", [i for x in symbols for i in ([self.id[x]] if x in self.id else map(self.byte_id.__getitem__, x.encode()))]).tobytes()
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """Ids, as bytes of 32-bit integers, of each part."""
+        out: list[bytes] = [b""] * len(parts)
+        of_length: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            of_length.setdefault(len(part), []).append(k)
+        blocks = []
+        for length, own in of_length.items():
+            if length > LONGEST_KEPT:
+                for k in own:
+                    out[k] = self._spelt(self._merge_long(parts[k]))
+            else:
+                blocks += [own[i : i + MOST_ABREAST] for i in range(0, len(own), MOST_ABREAST)]
+        for block in blocks:
+            merged = self.merge_abreast([parts[k] for k in block]).T
+            there = merged != -1
+            ends = np.cumsum(there.sum(axis=1)) * 4
+            flat = merged[there]
+            known = np.where(flat >= 0, self.id_of_number[flat], np.int32(-1))
+            packed = known.tobytes()
+            for k, i, j in zip(block, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[k] = packed[i:j]
+            if (known < 0).any():
+                for row in np.unique(np.searchsorted(ends // 4, np.flatnonzero(known < 0), side="right")).tolist():
+                    out[block[row]] = self._spelt([self._symbol(i) for i in merged[row].tolist() if i != -1])
+        return out
 
     def needs_check(self, text: str, ids: np.ndarray) -> bool:
         """Whether decoding is more than putting pieces side by side: bytes beyond ASCII, or blanks or marks at an end."""
@@ -154,62 +264,72 @@ class _Parts(dict):
     def __init__(self, vocabulary: PieceVocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.runs: dict[str, bytes] = {}
-        #: Parts met since the last check, with their ids.
-        self.fresh: list[tuple[str, bytes]] = []
+        #: Parts met before those of this store; they return to it when they are met again.
+        self.older: dict[str, bytes] = {}
+        #: Parts met since the last check.
+        self.fresh: list[str] = []
+        #: Parts of this slice that are too long to keep.
+        self.long: list[str] = []
 
     @staticmethod
     def marked(key: str) -> str:
         if key[0] == "\n":
             return key
-        return BLANK * len(key) if not key.strip(" ") else BLANK + key.replace(" ", BLANK)
-
-    def __missing__(self, key: str) -> bytes:
-        part, joined = self.marked(key), self.vocabulary.joined
-        cuts = [k for k, pair in enumerate(map(str.__add__, part, part[1:]), 1) if pair not in joined]
-        if cuts:
-            found = b"".join([self._run(part[i:k]) for i, k in zip([0, *cuts], [*cuts, len(part)], strict=True)])
-        else:
-            found = self._run(part)
-        if len(key) <= LONGEST_KEPT:
-            self[key] = found
-        if key != " ":
-            self.fresh.append((key, found))
-        return found
-
-    def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            found = array("i", self.vocabulary.ids(run)).tobytes()
-            if len(run) <= LONGEST_KEPT:
-                self.runs[run] = found
-        return found
+        return BLANK + key if key[0] != " " else BLANK * len(key) if not key.strip(" ") else BLANK + key.replace(" ", BLANK)
+
+    def _cut(self, part: str) -> bytes:
+        """Ids of a long part, by the runs between which no piece can reach."""
+        cuts = [k for k, pair in enumerate(map(str.__add__, part, part[1:]), 1) if pair not in self.vocabulary.joined]
+        return b"".join(self.vocabulary.ids([part[i:k] for i, k in zip([0, *cuts], [*cuts, len(part)], strict=True)]))
+
+    def add(self, keys: set[str]) -> None:
+        """Make the parts ``keys`` known."""
+        unknown = keys.difference(self)
+        for key in unknown.intersection(self.older):
+            self[key] = self.older[key]
+        unknown.difference_update(self.older)
+        self.long += [key for key in unknown if len(key) >= LONGEST_KEPT]
+        self.fresh += unknown.difference((" ",))
+        for key in self.long:
+            self[key] = self._cut(self.marked(key))
+        short = list(unknown.difference(self.long))
+        self.update(zip(short, self.vocabulary.ids(list(map(self.marked, short))), strict=True))
 
     def bound(self) -> None:
-        if len(self) > MOST_KEPT:
+        """Forget long parts, and, when the store is full, those not met since it was last full."""
+        for key in self.long:
+            del self[key]
+        self.long.clear()
+        if len(self) > MOST_KEPT // 2:
+            self.older = dict(self)
             self.clear()
-        if len(self.runs) > MOST_KEPT:
-            self.runs.clear()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            keys = text.replace(BLANK, " ").replace("\n", " \n").split(" ") if text else []
+            split.append(_with_blanks(keys) if "" in keys else keys)
+        self.add(set().union(*split))
+        return [b"".join(map(self.__getitem__, keys)) for keys in split]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        keys = text.replace(BLANK, " ").replace("\n", " \n").split(" ")
-        if "" in keys:
-            keys = _with_blanks(keys)
-        return b"".join(map(self.__getitem__, keys))
+        return self.encode_all([text])[0]
 
     def check_fresh(self) -> None:
         """Compare the parts met since the last check with the library, then forget them."""
         fresh, self.fresh = self.fresh, []
         if not fresh:
             return
-        texts = [k[1:] if not k.strip(" ") else k for k, _ in fresh]
-        for (key, found), own in zip(fresh, self.vocabulary.library.encode(texts, num_threads=1), strict=True):
-            if key[0] == "\n":
-                del own[0]  # the library puts the dummy blank before it
-            if array("i", own).tobytes() != found:
-                raise AssertionError(f"the part {key!r} differs from the library's encoding")
+        fresh.sort(key=lambda key: key[0] == "\n")
+        texts = [key if key[0] != " " or key.strip(" ") else key[1:] for key in fresh]
+        own = self.vocabulary.library.encode(texts, num_threads=1)
+        for k in range(bisect_left(fresh, True, key=lambda key: key[0] == "\n"), len(own)):
+            del own[k][0]  # the library puts the dummy blank before a line end
+        found = list(map(self.__getitem__, fresh))
+        alike = [4 * len(x) for x in own] == list(map(len, found))
+        if not alike or array("i", chain.from_iterable(own)).tobytes() != b"".join(found):
+            key = next(key for key, ids, mine in zip(fresh, own, found, strict=True) if array("i", ids).tobytes() != mine)
+            raise AssertionError(f"the part {key!r} differs from the library's encoding")
 
 
 def _with_blanks(keys: list[str]) -> list[str]:
@@ -258,8 +378,8 @@ def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
             for batch in slices(whole, "text"):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
                 once = dict.fromkeys(texts)  # copies stand together more often than not
-                for x in once:
-                    once[x] = np.frombuffer(parts.encode(x), np.int32)
+                for x, found in zip(once, parts.encode_all(list(once)), strict=True):
+                    once[x] = np.frombuffer(found, np.int32)
                 parts.check_fresh()
                 parts.bound()
                 ids = [once[x] for x in texts]

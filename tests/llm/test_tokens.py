@@ -157,3 +157,24 @@ def test_the_list_of_fresh_parts_empties():
         assert parts.fresh
         parts.check_fresh()
         assert parts.fresh == []
+
+
+def test_parts_merged_abreast_equal_those_merged_alone():
+    vocabulary = pieces.PieceVocabulary(MODEL)
+    parts = sorted({f"▁{x}{end}" for k in range(40) for x in prose(k, 20).split() for end in ("", "é", "\U0001f600", "\x00", "漢字", "▁▁")}, key=len)
+    for length in {len(x) for x in parts}:
+        own = [x for x in parts if len(x) == length]
+        columns = vocabulary.merge_abreast(own).T.tolist()
+        assert [[vocabulary._symbol(i) for i in c if i != -1] for c in columns] == [vocabulary._merge_long(x) for x in own]
+
+
+def test_a_small_store_forgets_and_meets_parts_again(monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_KEPT", 40)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    parts = pieces._Parts(pieces.PieceVocabulary(MODEL))
+    for k in range(12):
+        texts = [prose(k % 3, 60), "", f"{'y' * 70}{k} {'abc' * 40}\n\n {prose(k, 30)}"]
+        assert [np.frombuffer(x, np.int32).tolist() for x in parts.encode_all(texts)] == [library.encode(x) for x in texts]
+        parts.check_fresh()
+        parts.bound()
+        assert len(parts) <= pieces.MOST_KEPT // 2 and not any(len(x) >= pieces.LONGEST_KEPT for x in parts)
