@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +29,19 @@ def odds_of(value: str) -> Column:
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a log of odds: one market a user, one reading a row."""
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", odds_of("value").alias("odds"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and checkpointed, for plans that read it many times.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and all
+    of Spark runs in one process, a local folder is made.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
