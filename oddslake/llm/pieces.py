@@ -34,7 +34,7 @@ from oddslake.llm.common import bound_batches, read_table, slices
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
 #: Parts kept by one Python worker (about 250 bytes each); beyond it those not met lately are forgotten.
-MOST_KEPT = 300_000
+MOST_KEPT = 200_000
 #: Longer parts are merged in each slice that they occur in and not kept.
 LONGEST_KEPT = 48
 #: Parts merged side by side.
