@@ -209,7 +209,10 @@ class PieceVocabulary:
         """Ids, as bytes of 32-bit integers, of symbols; those that are no pieces as their bytes."""
         return array("i", [i for x in symbols for i in ([self.id[x]] if x in self.id else map(self.byte_id.__getitem__, x.encode()))]).tobytes()
 
-    def ids(self, parts: list[str]) -> list[bytes]:
+    def ids(self, part: str) -> list[int]:
+        return np.frombuffer(self.ids_of_each([part])[0], np.int32).tolist()
+
+    def ids_of_each(self, parts: list[str]) -> list[bytes]:
         """Ids, as bytes of 32-bit integers, of each part."""
         out: list[bytes] = [b""] * len(parts)
         of_length: dict[int, list[int]] = {}
@@ -280,7 +283,7 @@ class _Parts(dict):
     def _cut(self, part: str) -> bytes:
         """Ids of a long part, by the runs between which no piece can reach."""
         cuts = [k for k, pair in enumerate(map(str.__add__, part, part[1:]), 1) if pair not in self.vocabulary.joined]
-        return b"".join(self.vocabulary.ids([part[i:k] for i, k in zip([0, *cuts], [*cuts, len(part)], strict=True)]))
+        return b"".join(self.vocabulary.ids_of_each([part[i:k] for i, k in zip([0, *cuts], [*cuts, len(part)], strict=True)]))
 
     def add(self, keys: set[str]) -> None:
         """Make the parts ``keys`` known."""
@@ -293,7 +296,7 @@ class _Parts(dict):
         for key in self.long:
             self[key] = self._cut(self.marked(key))
         short = list(unknown.difference(self.long))
-        self.update(zip(short, self.vocabulary.ids(list(map(self.marked, short))), strict=True))
+        self.update(zip(short, self.vocabulary.ids_of_each(list(map(self.marked, short))), strict=True))
 
     def bound(self) -> None:
         """Forget long parts, and, when the store is full, those not met since it was last full."""
