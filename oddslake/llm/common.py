@@ -89,6 +89,12 @@ def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def renamed(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but ``used`` under names c0, c1, ... that no helper column has, and the new names in order."""
+    names = [c if c in used else f"c{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def give_back_memory() -> None:
     """Return what this Python worker no longer holds to the system: workers outlive tasks, and the next may be another kind's."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddslake.llm.common import SPACE_CHARS, bound_batches, read_table, slices, text_or_empty, written
+from oddslake.llm.common import SPACE_CHARS, bound_batches, read_table, renamed, slices, text_or_empty, written
 
 #: Filter bits for each line, and the least and most bits of a filter (64 MB).
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 29
@@ -156,15 +156,27 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, kee
     repeated key go; with "first" the line in the document of smallest doc_id (nulls first,
     then the smallest line number) stays. Returns the columns of ``docs``, text with the
     lines that stay joined by line ends, and n_lines (before) and n_dropped (long), which
-    replace columns of these names.
+    replace columns of these names. All other columns come back as they are, whatever
+    their names.
 
     A null or empty text is one empty line and comes back empty. Very long texts are worked
     on whole. Rows are documents, so
-    repeated rows and repeated or null ids count each. An empty table gives an empty
-    result.
+    repeated rows and repeated or null ids count each; rows equal in id and text keep and
+    lose the same lines, so with "first" each of them keeps the line. doc_id is an integer;
+    ids of other types raise a ValueError. An empty table gives an empty result.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id is not an integer")
+    given = docs.columns
+    docs, inside = renamed(docs, ("doc_id", "text", "n_lines", "n_dropped"))
+    out = _dedup_lines(docs, least_docs, least_chars, keep)
+    names = dict(zip(inside, given, strict=True))
+    return out.toDF(*[names.get(c, c) for c in out.columns])
+
+
+def _dedup_lines(docs: DataFrame, least_docs: int, least_chars: int, keep: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     suspects = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least_chars) if least_docs > 1 else None)  # at most MOST_BITS
     found = written(repeated_keys(docs, suspects, least_docs, least_chars), "repeated-lines")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import SPACE_CLASS, read_table, small_enough, written
+from oddslake.llm.common import SPACE_CLASS, read_table, renamed, small_enough, written
 
 #: Bits of the document hash that each histogram level resolves; together 63, of which ROW_BITS are the row's.
 LEVELS = (11, 11, 10, 11, 10, 10)
@@ -189,15 +189,16 @@ def mixed(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, weights: t
     Null and empty texts count as texts without words: they are taken as their hash says
     and change no size. Null sources are a source of their own. Very long texts are taken or
     left whole. Rows equal in all columns are counted, and so many are taken as come
-    nearest. An empty table gives an empty result. Columns named _mix_... or _copies are not
-    expected.
+    nearest. An empty table gives an empty result.
     """
+    given = docs.columns
+    docs, _ = renamed(docs, ("doc_id", "source", "text"))
     _, plan = _plan(docs, docs.columns, share, most_repeats, weights)
     plan = _named(plan)
     joined = docs.join(_maybe_broadcast(plan), docs["source"].eqNullSafe(F.col("_mix_source")))
     joined = joined.withColumn("_mix_hash", row_hash(docs, docs.columns))
     taken = _with_copies(joined, plan, docs.columns, most_repeats, F.col("_mix_hash")).where("_copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns).toDF(*given)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -230,7 +230,8 @@ class PieceVocabulary:
             there = merged != -1
             ends = np.cumsum(there.sum(axis=1)) * 4
             flat = merged[there]
-            known = np.where(flat >= 0, self.id_of_number[flat], np.int32(-1))
+            known = np.full(len(flat), -1, np.int32)
+            known[flat >= 0] = self.id_of_number[flat[flat >= 0]]
             packed = known.tobytes()
             for k, i, j in zip(block, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 out[k] = packed[i:j]

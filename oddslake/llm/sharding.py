@@ -136,7 +136,7 @@ def _portions(unit: DataFrame, portion: int) -> DataFrame:
     most = F.greatest(F.lit(1).cast("long"), F.least(F.lit(SLOT_ROWS).cast("long"), F.floor(F.lit(portion) / F.col("size"))))
     most = F.when(F.col("portions").isNull(), F.col("n")).otherwise(most)
     cut = unit.withColumn("most", most).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("most"))))
-    inner = F.xxhash64("key", F.coalesce("doc_id", F.lit(-1)), "start")
+    inner = F.xxhash64("key", "doc_id", "start")
     return cut.withColumn("inner", inner).withColumn("n", F.least(F.col("most"), F.col("n") - F.col("start"))).drop("most", "start")
 
 

@@ -55,3 +55,17 @@ def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_rows_and_characters_beyond_the_vocabulary(spark, sf_dir, odd_rows):
+    from .test_tokens import BEYOND
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(i, t, *(rest + (None, None))[:2], None) for i, t, *rest in ((*r[:2], *r[2:]) for r in odd_rows) for rest in (tuple(rest),)]
+    docs = docs.limit(20).union(spark.createDataFrame(rows + [(500 + k, t, None, "z", None) for k, t in enumerate(BEYOND)], docs.schema))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() > 0
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.to_pieces(spark, docs, sf_dir).collect())
+    assert got == Counter((r["doc_id"], tuple(library.encode(r["text"] or ""))) for r in docs.collect())

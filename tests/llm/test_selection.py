@@ -224,3 +224,33 @@ def test_one_rule_at_a_time(make):
 
 def test_sizes_count_bytes(make):
     assert sharding.shard(make([(1, "é")]), shards=1).select(F.sum("size")).first()[0] == 18
+
+
+def test_all_columns_come_back_unchanged(spark):
+    """Every name that an operator uses inside, as a column of the caller's."""
+    from pathlib import Path
+
+    from oddslake.llm import line_dedup, near_dedup
+
+    names = {"_copies", "_n", "_more", "_start", "_at", "c0", "c1", "c7", "doc", "key"}
+    for module in (mixing, line_dedup, near_dedup):
+        names |= set(re.findall(r'"(_?[a-z][a-z_]*)"', Path(module.__file__).read_text()))
+        names |= {f"_mix_{x}" for x in names if not x.startswith("_")} if module is mixing else set()
+    extra = sorted(names - {"doc_id", "text", "source", "n_lines", "n_dropped"})
+    texts = [(1, "a line\nown one", "a"), (2, "a line\nown two", "a"), (3, prose(1, 40), "b"), (3, prose(1, 40), "b"), (3, prose(1, 40), "b"), (4, prose(2, 40), None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string").select("*", *[F.array(F.lit(0)).alias(c) for c in extra[::2]], *[F.lit(77).alias(c) for c in extra[1::2]])
+    for out in (mixing.mixed(docs), near_dedup.keep_one(docs), line_dedup.dedup_lines(docs, least_docs=2).select(*docs.columns)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == ([0] if c in extra[::2] else 77) for r in rows for c in extra)
+    got = line_dedup.dedup_lines(docs, least_docs=2).collect()
+    assert [r["text"] for r in got if r["doc_id"] == 1] == ["own one"]
+
+
+def test_shards_and_lines_of_other_ids(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "y")], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in sharding.shard(docs, shards=2).collect()) == ["None", "a", "b"]
+    from oddslake.llm import line_dedup
+
+    with pytest.raises(ValueError, match="doc_id"):
+        line_dedup.dedup_lines(docs)
