@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, sharding, token_files, top_k
+from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, quality_rules, sharding, token_files, top_k
 
 QUERIES = {
     "op1_pieces": pieces.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_language_id": language_id.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_prefix_trie": prefix_trie.query,
 }
 
 ORACLE_SQL = {
     "op2_top_k": top_k.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
