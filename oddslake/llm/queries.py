@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, quality_rules, sharding, token_files, top_k
+from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, quality_rules, sharding, token_files, top_k, whitening
 
 QUERIES = {
     "op1_pieces": pieces.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_quality_rules": quality_rules.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_whitening": whitening.query,
 }
 
 ORACLE_SQL = {
