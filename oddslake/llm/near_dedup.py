@@ -13,7 +13,7 @@ others. A pair at the least similarity shares no band with a probability of abou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -71,13 +71,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, words_each: int = SHINGLE) -> np.ndarray:
     """The sorted 64-bit hashes of the text's distinct shingles; empty without words."""
     words = text.encode().lower().split() if text else []  # of bytes: A-Z only, ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
+    width = min(words_each, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
         out = out * _MIX + hashes[k : len(hashes) - width + 1 + k]
@@ -156,6 +156,7 @@ class Texts(NamedTuple):
 
     docs: DataFrame
     names: DataFrame
+    words_each: int = SHINGLE
 
     def shingle_sets(self, ids: DataFrame) -> DataFrame:
         """(doc_id, items) for the distinct class numbers in ``ids``: the full shingle sets, as bytes of sorted 64-bit hashes.
@@ -168,11 +169,12 @@ class Texts(NamedTuple):
         wanted = F.broadcast(names.select(bucket("id")).distinct())
         texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_hash"))
         texts = texts.select("*", bucket("id")).join(wanted, "bucket", "left_semi").drop("bucket").join(names, ["id", "text_hash"])
+        words_each = self.words_each
 
         def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+                    sets = [shingles(t, words_each).tobytes() for t in batch.column("text").to_pylist()]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "items"])
             _WORDS.clear()
 
@@ -296,16 +298,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _components_of(docs: DataFrame) -> DataFrame:
-    """The rows of near_duplicates, with the text's hash and the group's number (null for rows that are a group alone)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = written(signatures(docs), "near-signatures")
+
+    def links(names: DataFrame, usable: DataFrame) -> DataFrame:
+        reps = usable.join(names, ["id", "text_hash"]).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"])
+        return class_links(Texts(docs, names), reps)
+
+    return with_components(table, links)
+
+
+def with_components(table: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash and the group's number (null for rows that are a group alone) of all rows.
+
+    ``table`` has doc_id, n_shingles, text_hash and the hash (hi, lo) of each row's set.
+    ``links`` gives links (a, b) between classes of equal sets from their names (doc_id,
+    the class's number, with the id and text_hash of the row that stands for it) and the
+    rows of ``table`` that have words and an id.
+    """
     usable = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep"), F.count("*").alias("n"))
     classes = written(classes.select("hi", "lo", "rep.*", "n", F.monotonically_increasing_id().alias("class")), "near-classes")  # numbers are fixed from here on
     names = classes.select(F.col("class").alias("doc_id"), "id", "text_hash")
-    reps = usable.withColumnRenamed("doc_id", "id").join(names, ["id", "text_hash"]).select("doc_id", "sig", "bands")
-    roots = components(class_links(Texts(docs, names), reps))
+    roots = components(links(names, usable.withColumnRenamed("doc_id", "id")))
     linked = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("group", F.coalesce("root", "class"))
     heads = linked.join(roots.select(F.col("root").alias("group")).distinct(), "group").groupBy("group").agg(F.min("id").alias("head"))
     named = linked.join(heads, "group", "left")
@@ -320,10 +336,10 @@ def _components_of(docs: DataFrame) -> DataFrame:
 def class_links(texts: Texts, reps: DataFrame) -> DataFrame:
     """Confirmed links between classes that connect all that are linked.
 
-    ``reps`` has doc_id (the class's number), sig and bands.
+    ``reps`` has doc_id (the class's number, once), sig and bands.
     """
-    reps = written(reps.dropDuplicates(["doc_id"]), "near-reps")
-    buckets = written(_with_hubs(reps.select(F.explode("bands").alias("key"), "doc_id")), "near-buckets")
+    reps = written(reps, "near-reps")
+    buckets = written(with_hubs(reps.select(F.explode("bands").alias("key"), "doc_id")), "near-buckets")
     sig = reps.select("doc_id", "sig")
     stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stars.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -334,15 +350,15 @@ def class_links(texts: Texts, reps: DataFrame) -> DataFrame:
     placed = written(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = written(placed.join(mixed, "key", "left_semi").join(sig, "doc_id"), "near-mixed")
-    region = _regions(left)
+    region = regions(left)
     inside = _links_in_regions(texts, left.select("doc_id", "root", "sig").dropDuplicates(["doc_id"]).join(region, "doc_id"))
-    across = written(_pairs_across(left.join(region, "doc_id")), "near-across")
+    across = written(pairs_across(left.join(region, "doc_id")), "near-across")
     out = first.union(inside).union(confirmed(texts, across))
     drop_written(reps, buckets, placed, left, across)
     return out
 
 
-def _with_hubs(cells: DataFrame) -> DataFrame:
+def with_hubs(cells: DataFrame) -> DataFrame:
     """(key, doc_id, hub) of the buckets with two members or more; the hub is the smallest member.
 
     Hubs of the fullest buckets are broadcast to their members, which so are not gathered in
@@ -356,39 +372,39 @@ def _with_hubs(cells: DataFrame) -> DataFrame:
     return named.where("hot_hub is not null").select("key", "doc_id", F.col("hot_hub").alias("hub")).union(named.where("hot_hub is null").drop("hot_hub").join(other, "key"))
 
 
-def _regions(cells: DataFrame) -> DataFrame:
+def regions(cells: DataFrame) -> DataFrame:
     """(doc_id, region): documents of one near-copy group mostly share a region, the smallest hub within two steps."""
     own = cells.groupBy("doc_id").agg(F.min("hub").alias("region"))
     keyed = cells.select("key", "doc_id").join(own, "doc_id").groupBy("key").agg(F.min("region").alias("region"))
     return written(cells.select("key", "doc_id").join(keyed, "key").groupBy("doc_id").agg(F.min("region").alias("region")), "near-regions")
 
 
-def _beside(members: DataFrame, shape: DataFrame, key: str) -> DataFrame:
+def beside(members: DataFrame, shape: DataFrame, key: str) -> DataFrame:
     """``members`` joined with ``shape``, one row a ``key``: by broadcast while that is small, so that full groups are not gathered."""
     shape = written(shape, "near-shape")
     return members.join(F.broadcast(shape) if small_enough(shape, MOST_SHAPES) else shape, key)
 
 
-def _largest(members: DataFrame, group: str, part: str) -> DataFrame:
+def largest(members: DataFrame, group: str, part: str) -> DataFrame:
     """(group, main, n): the most frequent ``part`` of each group and the group's size, for groups of several parts; on ties the smallest."""
     counts = members.groupBy(group, part).agg(F.count("*").alias("own"))
     return counts.groupBy(group).agg(F.min(F.struct((-F.col("own")).alias("less"), F.col(part).alias("part")))["part"].alias("main"), F.sum("own").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
 
 
-def _pairs_across(members: DataFrame) -> DataFrame:
+def pairs_across(members: DataFrame, mark: str = "sig", may: Callable[[str, str], Column] = may_link) -> DataFrame:
     """(a, b): pairs of a bucket's members from different regions and roots that may be linked, but for those with its hub, which have been compared.
 
-    ``members`` has key, hub, doc_id, root, sig and region. All members of a bucket stand
+    ``members`` has key, hub, doc_id, root, region and ``mark``, which ``may`` compares. All members of a bucket stand
     once, in parts of about BLOCK; only those outside its largest region go to every part.
     So the work on a bucket is its size times the number of strangers in it.
     """
-    members = _beside(members, _largest(members, "key", "region"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    members = beside(members, largest(members, "key", "region"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
     x = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     y = members.where(F.col("region") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    columns = lambda df, s: df.select("key", "part", *(F.col(c).alias(c + s) for c in ("doc_id", "root", "region", "sig")))
+    columns = lambda df, s: df.select("key", "part", *(F.col(c).alias(c + s) for c in ("doc_id", "root", "region", mark)))
     x, y = columns(x.where("doc_id <> hub"), "_x"), columns(y.where("doc_id <> hub"), "_y")
     other = (F.col("region_x") != F.col("region_y")) & (F.col("root_x") != F.col("root_y"))
-    pairs = x.join(y, ["key", "part"]).where(other & may_link("sig_x", "sig_y"))
+    pairs = x.join(y, ["key", "part"]).where(other & may(f"{mark}_x", f"{mark}_y"))
     return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
 
 
@@ -400,10 +416,10 @@ def _links_in_regions(texts: Texts, members: DataFrame) -> DataFrame:
     work on a region is its size times the number of its members with other roots.
     """
     members = written(members, "near-members")
-    shape = _largest(members, "region", "root")
-    own = _beside(members, shape.select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
+    shape = largest(members, "region", "root")
+    own = beside(members, shape.select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
     counts = own.groupBy("region").agg(F.ceil(F.count_if("is_main") / BLOCK).alias("main_parts"), F.ceil(F.count_if(~F.col("is_main")) / BLOCK).alias("other_parts"))
-    parts = _beside(own, counts, "region").join(texts.shingle_sets(own.select("doc_id")), "doc_id")
+    parts = beside(own, counts, "region").join(texts.shingle_sets(own.select("doc_id")), "doc_id")
     slot = F.xxhash64("doc_id")
     parts = parts.withColumn("sub", F.when(F.col("is_main"), F.col("other_parts") + F.pmod(slot, "main_parts")).otherwise(F.pmod(slot, "other_parts")))
     every = F.when(F.col("is_main"), F.col("other_parts")).otherwise(F.col("other_parts") + F.col("main_parts"))
@@ -440,3 +456,27 @@ def keep_one(docs: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def oracle(words: int, least: int) -> str:
+    """The same components with all pairs of documents that share a shingle, for small tables."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(2, len(words) - {words} + 2)), lambda k: array_to_string(words[k:k + {words - 1}], ' '))) AS items
+  FROM w WHERE len(words) > 0),
+i AS (SELECT doc_id, hash(unnest(items)) AS item FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM i x JOIN i y ON x.item = y.item AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * shared >= {least} * (len(x.items) + len(y.items) - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(len(s.items), 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
+ORACLE = f"SELECT *, doc_id = component_id AS kept FROM ({oracle(SHINGLE, LEAST_HUNDREDTHS)})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddslake.llm import language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, quality_rules, sharding, token_files, top_k, whitening
+from oddslake.llm import language_id, line_dedup, mixing, near_dedup, ngram_join, pieces, prefix_trie, quality_model, quality_rules, sharding, token_files, top_k, whitening
 
 QUERIES = {
     "op1_pieces": pieces.query,
@@ -17,11 +17,14 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_prefix_trie": prefix_trie.query,
     "op12_whitening": whitening.query,
+    "op13_ngram_join": ngram_join.query,
 }
 
 ORACLE_SQL = {
     "op2_top_k": top_k.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_ngram_join": ngram_join.ORACLE,
 }

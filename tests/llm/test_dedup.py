@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-from oddslake.llm import line_dedup, near_dedup
+import pytest
+from oddslake.llm import line_dedup, near_dedup, ngram_join
 
 from .conftest import prose
 
@@ -93,12 +94,12 @@ def test_bloom_never_forgets():
     assert bloom.has(keys[1000:]).mean() < 0.2
 
 
-def plain_near(rows):
+def plain_near(rows, width=5, least=75):
     """Components by comparing every two documents that share a shingle."""
     sets = {}
     for i, t in rows:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
     parent = {i: i for i in sets}
 
     def find(a):
@@ -112,7 +113,7 @@ def plain_near(rows):
             holders[g].append(i)
     for a, b in {(min(x, y), max(x, y)) for own in holders.values() for x in own for y in own if x != y}:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
@@ -207,3 +208,94 @@ def test_components_of_a_chain(spark):
 
 def test_hashes_are_stable():
     assert hashlib.sha256(near_dedup.shingles("One two three four five six").tobytes()).hexdigest() == hashlib.sha256(near_dedup.shingles("one\ttwo three  four five six").tobytes()).hexdigest()
+
+
+def close_rows():
+    """Groups of texts about the least similarity of each other, chains, boilerplate, and short sets with one shingle more or less."""
+    rng, rows = random.Random(11), near_rows()
+    for group in range(5):
+        base = prose(3000 + group, 200).split()
+        for copy in range(14):
+            words = list(base)
+            for k in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 6])):  # one word costs four shingles on both sides: 4 are about the least
+                words[k] = prose(rng.randrange(10**6), 1)
+            rows.append((30_000 + 100 * group + copy, " ".join(words)))
+        chain = list(base)
+        for copy in range(12):
+            for k in rng.sample(range(200), 3):
+                chain[k] = prose(rng.randrange(10**6), 1)
+            rows.append((40_000 + 100 * group + copy, " ".join(chain)))
+    passage = prose(7777, 60)
+    rows += [(50_000 + k, prose(8000 + k, 30) + " " + passage + " " + prose(9000 + k, 20)) for k in range(60)]  # share a passage, not near
+    rows += [(60_000 + k, passage + " " + prose(9500 + k, 3)) for k in range(30)]
+    for n in range(1, 24):
+        words = prose(6000 + n, n + 4).split()
+        rows += [(70_000 + 10 * n, " ".join(words[:n])), (70_001 + 10 * n, " ".join(words[: n + 1])), (70_002 + 10 * n, " ".join(words[1 : n + 1])), (70_003 + 10 * n, " ".join(words[: n + 2]))]
+    return rows
+
+
+def joined(docs):
+    out = ngram_join.similar_documents(docs)
+    assert out.columns == ["doc_id", "n_shingles", "component_id"]
+    return Counter(map(tuple, out.collect()))
+
+
+@pytest.mark.parametrize("block, full, shapes", [(1024, 20_000, 500_000), (3, 20_000, 500_000), (7, 8, 0)])
+def test_ngram_join_equals_brute_force(make, monkeypatch, block, full, shapes):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MOST_FULL", full)
+    monkeypatch.setattr(near_dedup, "MOST_SHAPES", shapes)
+    rows = close_rows()
+    assert joined(make(rows)) == Counter(r[:3] for r in plain_near(rows, 4, 85))
+
+
+def test_ngram_join_with_few_counters(make, monkeypatch):
+    """All counters shared by many n-grams: the order says nothing, the result is the same."""
+    monkeypatch.setattr(ngram_join, "LEAST_COUNTERS", 64)
+    monkeypatch.setattr(ngram_join, "MOST_COUNTERS", 64)
+    rows = close_rows()[-300:]
+    assert joined(make(rows)) == Counter(r[:3] for r in plain_near(rows, 4, 85))
+
+
+def test_ngram_join_odd_rows(make, odd_rows):
+    got = joined(make(odd_rows))
+    assert Counter(r[0] for r in got.elements()) == Counter(r[0] for r in odd_rows)
+    assert all(r[2] == r[0] for r in got) and not joined(make([]))
+    assert got[(4, 1, 4)] == 2 and got[(1, 0, 1)] == 1
+    one_id = [(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(2, 60)), (3, prose(1, 60)), (None, prose(1, 60)), (3, prose(1, 60))]
+    assert joined(make(one_id)) == Counter([(1, 57, 1), (1, 57, 1), (2, 57, 1), (3, 57, 1), (None, 57, None), (3, 57, 1)])
+
+
+def test_overlaps_are_products(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, rng.integers(0, 90), np.uint64)) for k in range(50)]
+    monkeypatch.setattr(ngram_join, "MOST_PRODUCTS", 37)
+    for left, right in ((sets, sets[:20]), (sets[:1], sets), ([], sets), (sets, [])):
+        x, y, n = ngram_join.overlaps(left, right)
+        want = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(left) for j, b in enumerate(right)}
+        assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), n.tolist(), strict=True)) == {k: v for k, v in want.items() if v}
+
+
+def test_linked_sets_share_a_leading_ngram():
+    rng, steps = np.random.default_rng(9), np.zeros(64, np.uint8)
+    for _ in range(2000):
+        n = int(rng.integers(1, 80))
+        items = np.unique(rng.integers(0, 2**63, n + 20, np.uint64))
+        a, b = items[: len(items) - int(rng.integers(0, 14))], items[int(rng.integers(0, 14)) :]
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) and not np.array_equal(a, b):
+            assert len(np.intersect1d(ngram_join.leading(a, steps), ngram_join.leading(b, steps)))
+
+
+def test_join_queries_equal_plain_python(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert Counter(map(tuple, ngram_join.query(spark, sf_dir).collect())) == Counter(r[:3] for r in plain_near(docs, 4, 85))
+    assert set(map(tuple, near_dedup.query(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect())) == plain_near(docs)
+
+
+def test_join_queries_equal_sql(spark, sf_dir):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for module, columns in ((ngram_join, "doc_id, n_shingles, component_id"), (near_dedup, "doc_id, n_shingles, component_id, kept")):
+        want = Counter(duckdb.sql(f"SELECT {columns} FROM ({module.ORACLE})").fetchall())
+        assert Counter(map(tuple, module.query(spark, sf_dir).select(*columns.split(", ")).collect())) == want
