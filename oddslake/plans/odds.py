@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddslake.functions import text
+
 from oddslake.functions import money
 from oddslake.operators.latest import latest_then_valid, top_n, valid_then_latest
 from oddslake.operators.matching import only_candidate
@@ -90,7 +92,7 @@ def filtered_values(items: DataFrame, least: float = 0.0, league: str = "all", t
     rows = items.where(F.col("value") >= F.lit(least).cast("decimal(20,10)"))
     rows = rows if league == "all" else rows.where(F.col("league_id") == league)
     rows = rows.where(F.col("pick_id").isin(teams)) if teams else rows
-    rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "home_name", "away_name")), F.lit(term.lower()))) if term else rows
+    rows = rows.where(text.contains_folded(F.concat_ws(" ", "home_name", "away_name"), term)) if term else rows
     orders = {"time": F.asc("starts_at"), "probability": F.desc("probability"), "value": F.desc("value")}
     return rows.orderBy(orders[sort], "market_id")
 
