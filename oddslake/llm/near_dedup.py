@@ -157,6 +157,8 @@ class Texts(NamedTuple):
     docs: DataFrame
     names: DataFrame
     words_each: int = SHINGLE
+    #: Whether no two rows of ``docs`` with words are equal in id and text.
+    unique: bool = False
 
     def shingle_sets(self, ids: DataFrame) -> DataFrame:
         """(doc_id, items) for the distinct class numbers in ``ids``: the full shingle sets, as bytes of sorted 64-bit hashes.
@@ -179,7 +181,7 @@ class Texts(NamedTuple):
             _WORDS.clear()
 
         sets = texts.select("doc_id", "text").mapInArrow(to_sets, "doc_id long, items binary")
-        return written(sets.dropDuplicates(["doc_id"]), "near-sets")
+        return written(sets if self.unique else sets.dropDuplicates(["doc_id"]), "near-sets")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -302,26 +304,29 @@ def _components_of(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = written(signatures(docs), "near-signatures")
 
-    def links(names: DataFrame, usable: DataFrame) -> DataFrame:
-        reps = usable.join(names, ["id", "text_hash"]).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"])
-        return class_links(Texts(docs, names), reps)
+    def links(names: DataFrame, usable: DataFrame, unique: bool) -> DataFrame:
+        reps = usable.join(names, ["id", "text_hash"])
+        reps = reps if unique else reps.dropDuplicates(["id", "text_hash"])
+        return class_links(Texts(docs, names, unique=unique), reps.select("doc_id", "sig", "bands"))
 
     return with_components(table, links)
 
 
-def with_components(table: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def with_components(table: DataFrame, links: Callable[[DataFrame, DataFrame, bool], DataFrame]) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash and the group's number (null for rows that are a group alone) of all rows.
 
     ``table`` has doc_id, n_shingles, text_hash and the hash (hi, lo) of each row's set.
     ``links`` gives links (a, b) between classes of equal sets from their names (doc_id,
-    the class's number, with the id and text_hash of the row that stands for it) and the
-    rows of ``table`` that have words and an id.
+    the class's number, with the id and text_hash of the row that stands for it), the
+    rows of ``table`` that have words and an id, and whether each of those is alone with its
+    id and text.
     """
     usable = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep"), F.count("*").alias("n"))
     classes = written(classes.select("hi", "lo", "rep.*", "n", F.monotonically_increasing_id().alias("class")), "near-classes")  # numbers are fixed from here on
     names = classes.select(F.col("class").alias("doc_id"), "id", "text_hash")
-    roots = components(links(names, usable.withColumnRenamed("doc_id", "id")))
+    unique = small_enough(usable.groupBy("doc_id", "text_hash").count().where("count > 1"), 0)
+    roots = components(links(names, usable.withColumnRenamed("doc_id", "id"), unique))
     linked = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("group", F.coalesce("root", "class"))
     heads = linked.join(roots.select(F.col("root").alias("group")).distinct(), "group").groupBy("group").agg(F.min("id").alias("head"))
     named = linked.join(heads, "group", "left")
@@ -358,18 +363,17 @@ def class_links(texts: Texts, reps: DataFrame) -> DataFrame:
     return out
 
 
-def with_hubs(cells: DataFrame) -> DataFrame:
-    """(key, doc_id, hub) of the buckets with two members or more; the hub is the smallest member.
+def with_hubs(cells: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``cells`` (key, doc_id and more) of the buckets with two members or more, and hub, the smallest member, with its ``carried`` columns.
 
     Hubs of the fullest buckets are broadcast to their members, which so are not gathered in
-    one task.
+    one task. ``cells`` is read several times.
     """
-    cells = written(cells, "near-cells")
-    hubs = written(cells.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
+    of_hub = [F.min_by(c, "doc_id").alias(f"hub_{c}") for c in carried]
+    hubs = written(cells.groupBy("key").agg(F.min("doc_id").alias("hub"), *of_hub, F.count("*").alias("members")).where("members > 1"), "near-hubs")
     full = cells.count() / MOST_FULL  # fewer than MOST_FULL buckets have more members
-    hot, other = (hubs.where(x).select("key", "hub") for x in (F.col("n") > full, F.col("n") <= full))
-    named = cells.join(F.broadcast(hot.withColumnRenamed("hub", "hot_hub")), "key", "left")
-    return named.where("hot_hub is not null").select("key", "doc_id", F.col("hot_hub").alias("hub")).union(named.where("hot_hub is null").drop("hot_hub").join(other, "key"))
+    hot, other = (hubs.where(x).drop("members") for x in (F.col("members") > full, F.col("members") <= full))
+    return cells.join(F.broadcast(hot), "key").unionByName(cells.join(F.broadcast(hot.select("key")), "key", "left_anti").join(other, "key"))
 
 
 def regions(cells: DataFrame) -> DataFrame:

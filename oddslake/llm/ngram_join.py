@@ -10,9 +10,12 @@ one order, the first 15 % and one more of two linked sets have one in common, an
 meet by those alone. The order puts rare n-grams first, by counts of all documents in a
 fixed number of counters, so a passage that very many documents share brings none together.
 
-Rows that meet in one n-gram are first multiplied with one of them. Components are taken,
-and only rows of n-grams that still join several components are multiplied with each other,
-in blocks. All links that connect something are found; equal sets are one row.
+Where two rows first meet, what comes later in both bounds their overlap, so most rows that
+meet by chance are never multiplied. Rows that meet in one n-gram are first multiplied with
+one of them. Components are taken, and only rows of n-grams that still join several
+components are multiplied with each other: pair by pair where an n-gram has few rows, in
+blocks against blocks where it has many. All links that connect something are found; equal
+sets are one row.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddslake.llm import near_dedup
-from oddslake.llm.common import bound_batches, drop_written, give_back_memory, read_table, slices, written
+from oddslake.llm.common import bound_batches, drop_written, give_back_memory, read_table, slices, small_enough, written
 from oddslake.llm.near_dedup import Texts, beside, components, largest, oracle, pairs_across, regions, shingles, with_components, with_hubs
 
 #: Words of an n-gram, and the least similarity of a link in hundredths of the union.
@@ -40,6 +43,8 @@ COUNTERS_A_DOCUMENT, LEAST_COUNTERS, MOST_COUNTERS = 32, 1 << 16, 1 << 24
 STEPS, SEGMENTS = 5, 16
 #: Rows and bytes of n-grams of one block, about.
 BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Rows of an n-gram that are paired with each other; more are multiplied in blocks.
+FEW_ROWS = 64
 #: Products of a slice of n-grams that are laid out at once.
 MOST_PRODUCTS = 1 << 22
 
@@ -120,6 +125,12 @@ def sizes_allow(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= LEAST_HUNDREDTHS * F.greatest(a, b)
 
 
+def may_begin(n: str, i: str, m: str, j: str) -> Column:
+    """Whether rows of n and m n-grams may link if their first common one is number i of the one and j of the other (from 0)."""
+    most = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return (most * (100 + LEAST_HUNDREDTHS) >= LEAST_HUNDREDTHS * (F.col(n) + F.col(m))) & sizes_allow(n, m)
+
+
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, count): the entries of the product of two blocks of rows; each row is the array of its distinct n-grams.
 
@@ -178,79 +189,93 @@ def tile_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _multiplied(tiled: DataFrame) -> DataFrame:
+def _multiplied(tiles: DataFrame, sets: DataFrame, rows: int, size: int) -> DataFrame:
     """The links of all tiles; light tiles are multiplied together.
 
-    ``tiled`` has t, i and j, which name a tile of about a block, is_left, is_right, doc_id,
-    root and items. A row of another tile can only add a link, never lose one.
+    ``tiles`` has t, i and j, which name a tile of about a block, is_left, is_right, doc_id
+    and root; their ``rows`` and bytes are given. A row of another tile can only add a link,
+    never lose one.
     """
-    tiled = written(tiled, "join-tiles")
-    rows, size = tiled.agg(F.count("*"), F.sum(F.octet_length("items").cast("long"))).first()
-    groups = max(1, math.ceil(rows / BLOCK), math.ceil((size or 0) / BLOCK_BYTES))
-    dealt = tiled.withColumn("tile", F.pmod(F.xxhash64("t", "i", "j"), F.lit(groups))).drop("t", "i", "j")
-    links = written(dealt.groupBy("tile").applyInArrow(tile_links, "a long, b long"), "join-links")
-    drop_written(tiled)
-    return links
+    groups = max(1, math.ceil(rows / BLOCK), math.ceil(size / BLOCK_BYTES))
+    dealt = tiles.select(F.pmod(F.xxhash64("t", "i", "j"), F.lit(groups)).alias("tile"), "is_left", "is_right", "doc_id", "root").distinct()
+    dealt = F.broadcast(dealt) if rows <= near_dedup.MOST_SHAPES else dealt
+    return written(sets.join(dealt, "doc_id").groupBy("tile").applyInArrow(tile_links, "a long, b long"), "join-links")
 
 
-def _parts(rows: Column, size: Column) -> Column:
-    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1).cast("long"))
+def _parts(rows: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1).cast("long"))
 
 
 def product_of_pairs(texts: Texts, pairs: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b) of class numbers: one row of a with blocks of all rows b that it is paired with."""
     pairs = written(pairs, "join-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    sets = texts.shingle_sets(ids)
+    sets = texts.shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     weight = sets.select(F.col("doc_id").alias("b"), F.octet_length("items").cast("long").alias("size"))
-    shape = pairs.join(weight, "b").groupBy("a").agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
-    cut = beside(pairs, shape, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
-    right = cut.select(F.col("a").alias("t"), "part", F.col("b").alias("doc_id"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
-    left = shape.select(F.col("a").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(True), F.lit(False))
-    tiled = right.union(left).join(sets, "doc_id").select("t", F.col("part").alias("i"), F.lit(0).alias("j"), "is_left", "is_right", "doc_id", F.col("doc_id").alias("root"), "items")
-    links = _multiplied(tiled)
-    drop_written(pairs, sets)
+    shape = written(pairs.join(weight, "b").groupBy("a").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).withColumn("parts", _parts("rows", "size")), "join-shape")
+    rows, size = shape.agg(F.sum(F.col("rows") + F.col("parts")), F.sum("size")).first()
+    cut = beside(pairs, shape.select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    right = cut.select(F.col("a").alias("t"), F.col("part").alias("i"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), F.col("b").alias("doc_id"))
+    left = shape.select(F.col("a").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(True), F.lit(False), F.col("a").alias("doc_id"))
+    links = _multiplied(right.union(left).withColumns({"j": F.lit(0), "root": F.col("doc_id")}), sets, rows or 0, size or 0)
+    drop_written(pairs, sets, shape)
     return links
 
 
 def product_of_regions(texts: Texts, members: DataFrame) -> DataFrame:
     """The links inside regions between rows of different roots: blocks against blocks, those of the largest root against others only.
 
-    ``members`` has doc_id, root, n_shingles and region.
+    ``members`` has doc_id, root, size and region.
     """
     members = written(members, "join-members")
     own = beside(members, largest(members, "region", "root").select("region", "main"), "region").withColumn("is_main", F.col("root") == F.col("main"))
-    size = 8 * F.col("n_shingles")
-    count = lambda which: _parts(F.count_if(which), F.sum(F.when(which, size).otherwise(0)))
-    counts = own.groupBy("region").agg(count(F.col("is_main")).alias("main_parts"), count(~F.col("is_main")).alias("other_parts"))
+    size = lambda which: F.sum(F.when(which, 8 * F.col("size")).otherwise(0))
+    main = F.col("is_main")
+    counts = own.groupBy("region").agg(F.count_if(main).alias("mains"), size(main).alias("main_size"), F.count_if(~main).alias("others"), size(~main).alias("other_size"))
+    counts = counts.select("region", _parts("mains", "main_size").alias("main_parts"), _parts("others", "other_size").alias("other_parts"))
     slot = F.xxhash64("doc_id")
-    sub = F.when(F.col("is_main"), F.col("other_parts") + F.pmod(slot, "main_parts")).otherwise(F.pmod(slot, "other_parts"))
-    every = F.when(F.col("is_main"), F.col("other_parts")).otherwise(F.col("other_parts") + F.col("main_parts"))
+    sub = F.when(main, F.col("other_parts") + F.pmod(slot, "main_parts")).otherwise(F.pmod(slot, "other_parts"))
+    every = F.when(main, F.col("other_parts")).otherwise(F.col("other_parts") + F.col("main_parts"))
     dealt = beside(own, counts, "region").withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), every - 1)))
-    dealt = dealt.select(F.col("region").alias("t"), F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "doc_id", "root")
-    tiled = dealt.join(texts.shingle_sets(members.select("doc_id")), "doc_id")
-    return _multiplied(tiled.select("t", "i", "j", (F.col("sub") == F.col("i")).alias("is_left"), (F.col("sub") == F.col("j")).alias("is_right"), "doc_id", "root", "items"))
+    dealt = dealt.select(F.col("region").alias("t"), F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "doc_id", "root", "size")
+    dealt = written(dealt.withColumns({"is_left": F.col("sub") == F.col("i"), "is_right": F.col("sub") == F.col("j")}), "join-tiles")
+    rows, size = dealt.agg(F.count("*"), F.sum(8 * F.col("size"))).first()
+    sets = texts.shingle_sets(members.select("doc_id"))
+    links = _multiplied(dealt, sets, rows, size or 0)
+    drop_written(members, dealt, sets)
+    return links
+
+
+def pairs_of_few(members: DataFrame) -> DataFrame:
+    """(a, b): rows of one n-gram and different roots that may first meet there; those with its hub have been multiplied.
+
+    ``members`` has key, hub, doc_id, root, size and i, of n-grams with FEW_ROWS rows at most.
+    """
+    side = lambda s: members.where("doc_id <> hub").select("key", *[F.col(c).alias(c + s) for c in ("doc_id", "root", "size", "i")])
+    meet = side("_x").join(side("_y"), "key").where("doc_id_x < doc_id_y and root_x <> root_y").where(may_begin("size_x", "i_x", "size_y", "i_y"))
+    return meet.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
 def class_links(texts: Texts, reps: DataFrame) -> DataFrame:
-    """Links between classes of equal sets that connect all that are linked; ``reps`` has doc_id (the class's number), n_shingles and keys."""
+    """Links between classes of equal sets that connect all that are linked; ``reps`` has doc_id (the class's number), size and keys."""
     reps = written(reps, "join-reps")
-    sizes = reps.select("doc_id", "n_shingles")
-    buckets = written(with_hubs(reps.select(F.explode("keys").alias("key"), "doc_id")), "join-buckets")
-    stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(sizes_allow("na", "nb")).select("a", "b")
-    first = product_of_pairs(texts, stars)
+    cells = reps.select("doc_id", "size", F.posexplode("keys").alias("i", "key"))
+    buckets = written(with_hubs(cells, ("size", "i")), "join-buckets")
+    stars = buckets.where("doc_id <> hub").where(may_begin("size", "i", "hub_size", "hub_i"))
+    first = product_of_pairs(texts, stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     # n-grams whose rows the first links don't connect
     roots = components(first)
-    placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "hub", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "hub", "doc_id", "size", "i", F.coalesce("root", "doc_id").alias("root"))
     placed = written(placed, "join-placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = written(placed.join(several, "key", "left_semi").join(sizes, "doc_id"), "join-left")
-    region = regions(left)
-    inside = product_of_regions(texts, left.select("doc_id", "root", "n_shingles").dropDuplicates(["doc_id"]).join(region, "doc_id"))
-    across = product_of_pairs(texts, pairs_across(left.join(region, "doc_id"), "n_shingles", sizes_allow))
-    out = written(first.union(inside).union(across), "join-links")
-    drop_written(reps, buckets, placed, left)
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low <> high").select("key", "rows")
+    left = written(placed.join(several, "key"), "join-left")
+    drop_written(reps, buckets, placed)
+    out = first.union(product_of_pairs(texts, pairs_of_few(left.where(F.col("rows") <= FEW_ROWS))))
+    many = left.where(F.col("rows") > FEW_ROWS)
+    if not small_enough(many, 0):
+        region = regions(many)
+        inside = product_of_regions(texts, many.select("doc_id", "root", "size").dropDuplicates(["doc_id"]).join(region, "doc_id"))
+        out = out.union(inside).union(product_of_pairs(texts, pairs_across(many.drop("rows").join(region, "doc_id"), "size", sizes_allow)))
+    drop_written(left)
     return out
 
 
@@ -275,10 +300,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     table = written(described(docs, counters), "join-sets")
     steps = docs.sparkSession.sparkContext.broadcast(frequency_steps(table.where("segment is not null"), counters))  # MOST_COUNTERS bytes at most
 
-    def links(names: DataFrame, usable: DataFrame) -> DataFrame:
-        classes = names.join(usable.select("id", "text_hash", "n_shingles").distinct(), ["id", "text_hash"]).where(F.col("n_shingles") >= LEAST_SIZE)
-        reps = keyed(docs, steps).join(classes, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
-        return class_links(Texts(docs, names, SHINGLE), reps.select("doc_id", "n_shingles", "keys"))
+    def links(names: DataFrame, usable: DataFrame, unique: bool) -> DataFrame:
+        classes = names.join(usable.select("id", "text_hash", F.col("n_shingles").alias("size")).distinct(), ["id", "text_hash"]).where(F.col("size") >= LEAST_SIZE)
+        reps = keyed(docs, steps).join(classes, ["id", "text_hash"])
+        reps = reps if unique else reps.dropDuplicates(["id", "text_hash"])
+        return class_links(Texts(docs, names, SHINGLE, unique), reps.select("doc_id", "size", "keys"))
 
     return with_components(table.where("segment is null"), links).select("doc_id", "n_shingles", "component_id")
 

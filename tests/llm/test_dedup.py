@@ -240,8 +240,9 @@ def joined(docs):
     return Counter(map(tuple, out.collect()))
 
 
-@pytest.mark.parametrize("block, full, shapes", [(1024, 20_000, 500_000), (3, 20_000, 500_000), (7, 8, 0)])
-def test_ngram_join_equals_brute_force(make, monkeypatch, block, full, shapes):
+@pytest.mark.parametrize("block, full, shapes, few", [(1024, 20_000, 500_000, 64), (3, 20_000, 500_000, 2), (7, 8, 0, 5)])
+def test_ngram_join_equals_brute_force(make, monkeypatch, block, full, shapes, few):
+    monkeypatch.setattr(ngram_join, "FEW_ROWS", few)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "MOST_FULL", full)
