@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from oddslake.functions import moments
 from oddslake.operators import contracts
 from oddslake.plans import odds, series, simulation
 from oddslake.sources import ingest
-from oddslake.sources.tables import table
+from oddslake.sources.tables import shared_dir, table
 from oddslake.streaming import live
 
 _PRICE = "CAST(1 + CAST(o_totalprice AS DECIMAL(18,2)) * 0.0001 AS DECIMAL(16,6))"
@@ -76,9 +75,8 @@ WHERE n > 1 OR o_orderdate >= TIMESTAMP '1998-01-01'"""
 def series_summary(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     winner = F.when(F.col("l_returnflag") == "N", "home").otherwise("away")
-    formats = F.explode(F.array(*[F.lit(x) for x in series.TARGETS]))
-    maps = lines.select("l_orderkey", formats.alias("format"), F.lit("home").alias("home"), F.lit("away").alias("away"), F.col("l_linenumber").alias("number"), F.lit("finished").alias("status"), winner.alias("winner"))
-    return series.series_results(maps, ["l_orderkey"]).select("l_orderkey", "format", F.col("score.home").alias("home_wins"), F.col("score.away").alias("away_wins"))
+    maps = lines.select("l_orderkey", F.lit("home").alias("home"), F.lit("away").alias("away"), F.col("l_linenumber").alias("number"), F.lit("finished").alias("status"), winner.alias("winner"))
+    return series.series_by_format(maps, ["l_orderkey"]).select("l_orderkey", "format", F.col("score.home").alias("home_wins"), F.col("score.away").alias("away_wins"))
 
 
 SERIES_SUMMARY = """
@@ -264,8 +262,7 @@ FROM o"""
 
 def stream_latest(spark, sf_dir):
     """Each user's newest event, kept by micro-batches over the event files that are there now."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oddslake-")
-    folder = f"{shared.rstrip('/')}/stream-latest-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-latest-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").schema
     stream = live.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
     batches, versions = live.upsert_batches(f"{folder}/table", ["user_id"], "ts"), []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,27 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", odds_of("value").alias("odds"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` worked out once and checkpointed, for plans that read it many times.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and all
-    of Spark runs in one process, a local folder is made.
+    Only where that is unset, and all of Spark runs in one process, a local folder is made;
+    a cluster has to name one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, as a Parquet table in the shared folder, for plans that read it many times.
+
+    It outlives executors, and readers take only the columns and rows that they need.
+    """
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
