@@ -176,7 +176,11 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def tile_links(table: pa.Table) -> pa.Table:
-    """Links (a, b) of a tile between its rows of the left and of the right side that have different roots."""
+    """Pairs (a, b) that connect what the links of a tile connect, between its rows of the left and of the right side that have different roots.
+
+    A group of rows that links hold together comes as one pair for each of its rows but
+    the smallest, however many links there are.
+    """
     doc, root = (table.column(c).to_numpy() for c in ("doc_id", "root"))
     left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("is_left", "is_right"))
     items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
@@ -184,9 +188,24 @@ def tile_links(table: pa.Table) -> pa.Table:
     x, y, both = overlaps([items[k] for k in left], [items[k] for k in right])
     x, y = left[x], right[y]
     kept = (100 * both >= LEAST_HUNDREDTHS * (sizes[x] + sizes[y] - both)) & (root[x] != root[y])
-    pairs = np.unique(np.sort(np.stack([doc[x[kept]], doc[y[kept]]], axis=1), axis=1), axis=0)
+    names, places = np.unique(doc, return_inverse=True)
+    smallest = connected(len(names), places[x[kept]], places[y[kept]])
+    at = np.flatnonzero(smallest != np.arange(len(names)))
     give_back_memory()
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    return pa.table({"a": pa.array(names[smallest[at]], pa.int64()), "b": pa.array(names[at], pa.int64())})
+
+
+def connected(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the edges (x, y) reach from it."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[x], label[y])
+        before = label.copy()
+        for end in (x, y, before[x], before[y]):
+            np.minimum.at(label, end, least)
+        label = label[label]
+        if (label == before).all():
+            return label
 
 
 def _multiplied(tiles: DataFrame, sets: DataFrame, rows: int, size: int) -> DataFrame:

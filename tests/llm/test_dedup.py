@@ -278,6 +278,19 @@ def test_overlaps_are_products(monkeypatch):
         assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), n.tolist(), strict=True)) == {k: v for k, v in want.items() if v}
 
 
+def test_connected_nodes():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (50, 60), (300, 299)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in zip(x, y, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert ngram_join.connected(n, x, y).tolist() == want
+    chain = np.arange(999)
+    assert not ngram_join.connected(1000, chain, chain + 1).any()
+
+
 def test_linked_sets_share_a_leading_ngram():
     rng, steps = np.random.default_rng(9), np.zeros(64, np.uint8)
     for _ in range(2000):
