@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddslake.functions import text
 from oddslake.operators import versions
 from oddslake.plans import resolve
+from oddslake.sources import pages
 from oddslake.sources.tables import table
 
 #: What an alias is: its identity is the digest of these.
@@ -98,4 +99,56 @@ UNION ALL SELECT 'snapshots', rule, count(*) FROM s WHERE rule IS NOT NULL GROUP
 UNION ALL SELECT 'runs', 'several-active', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1 HAVING count(*) > 1)"""
 
 
-QUERIES = {"version_rules": (version_rules, VERSION_RULES), "guarded_quotes": (guarded_quotes, GUARDED_QUOTES)}
+def _fixtures_of_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open orders as fixtures of two sides, closed ones as candidates that may be named the other way round; no aliases."""
+    orders = table(spark, sf_dir, "orders").select("*", (F.col("o_custkey") % 50).alias("c"), F.concat(F.lit("Cup "), F.substring("o_orderpriority", 3, 9)).alias("cup"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    person = lambda k, name: F.struct(F.lit(k).alias("position"), F.concat(F.lit(name), "c").alias("name"), F.lit(None).cast("string").alias("source_id"))
+    empty = F.array().cast("array<timestamp>").alias("verified_starts")
+    nothing = F.array().cast("array<struct<position:int,name:string,team_id:string,target_id:string>>").alias("kept")
+    open_ = orders.where("o_orderstatus = 'O'")
+    fixtures = open_.select(F.concat(F.lit("f"), "o_orderkey").alias("fixture_id"), F.lit("book").alias("provider"), F.lit(resolve.GAME).alias("game"), F.col("cup").alias("competition_key"), F.concat("cup", F.lit(" 2024")).alias("competition"), F.col("at").alias("starts_at"), empty, F.array(person(0, "Équipe Home "), person(1, "away esports ")).alias("participants"), F.lit(None).cast("string").alias("previous_match_id"), nothing)
+    texts = F.array().cast("array<string>")
+    team = lambda name: F.struct(F.concat(F.lit(name), "c").alias("id"), F.array(F.concat(F.lit(name), "c")).alias("names"), texts.alias("codes"), F.create_map().cast("map<string,array<string>>").alias("source_ids"))
+    sides = (team("Away "), team("equipe home "))
+    candidates = orders.where("o_orderstatus <> 'O'").select(F.concat(F.lit("m"), "o_orderkey").alias("candidate_id"), F.lit(resolve.GAME).alias("game"), F.col("at").alias("starts_at"), F.col("cup").alias("competition"), sides[0].alias("home"), sides[1].alias("away"), F.array(F.struct(F.lit("other").alias("provider"), F.lit("1").alias("id"))).alias("competition_ids"))
+    aliases = spark.createDataFrame([], "kind string, provider string, game string, competition_key string, name string, target_provider string, target_id string, valid_from timestamp, valid_until timestamp")
+    return fixtures, candidates, aliases
+
+
+def match_links(spark, sf_dir):
+    """The decision on every open order."""
+    return resolve.resolve(*_fixtures_of_orders(spark, sf_dir)).select("fixture_id", "status", "reason", "match_id")
+
+
+MATCH_LINKS = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 50 AS c, o_orderpriority AS p, o_orderdate AS at, o_orderstatus AS s FROM orders),
+j AS (SELECT f.k, count(m.k) AS n, min('m' || m.k) AS match_id FROM o f LEFT JOIN o m ON m.s <> 'O' AND m.c = f.c AND m.p = f.p AND abs(epoch(m.at) - epoch(f.at)) <= 1800 WHERE f.s = 'O' GROUP BY f.k)
+SELECT 'f' || k AS fixture_id, CASE n WHEN 0 THEN 'pending' WHEN 1 THEN 'linked' ELSE 'ambiguous' END AS status,
+       CASE n WHEN 0 THEN 'no-demonstrated-candidate' WHEN 1 THEN 'teams-competition-current-schedule' ELSE 'multiple-plausible-identities' END AS reason, CASE WHEN n = 1 THEN match_id END AS match_id FROM j"""
+
+
+def market_identities(spark, sf_dir):
+    """Parts as markets of a map, of a source's id, or of a duel of two names."""
+    parts = table(spark, sf_dir, "part")
+    kind = F.col("p_size") % 3
+    label = F.when(kind == 2, F.concat("p_name", F.lit(" DUEL"))).otherwise(F.concat(F.lit("Map "), "p_size", F.lit(" -  "), "p_type"))
+    found = text.market_identity(label, F.when(kind == 1, F.col("p_brand")), F.when(kind == 2, "tab-players"), F.array("p_type", "p_brand"))
+    return parts.select("p_partkey", found.alias("m")).select("p_partkey", "m.identity", "m.basis", "m.period", "m.family")
+
+
+MARKET_IDENTITIES = r"""
+WITH p AS (SELECT *, p_size % 3 AS k, lower(CASE WHEN p_size % 3 = 2 THEN p_name || ' duel' ELSE 'map ' || p_size || ' - ' || p_type END) AS label, list_sort([lower(p_type), lower(p_brand)]) AS pair FROM part)
+SELECT p_partkey, sha256(CASE k WHEN 0 THEN '["stake-dom-v1","' || label || '"]' WHEN 1 THEN '["source-id","' || p_brand || '"]' ELSE '["stake-dom-v2-player-pair","' || label || '",["' || pair[1] || '","' || pair[2] || '"]]' END) AS identity,
+       CASE k WHEN 0 THEN 'stake-dom-v1' WHEN 1 THEN 'source-id' ELSE 'stake-dom-v2-player-pair' END AS basis, CASE WHEN k < 2 THEN p_size END AS period, regexp_replace(label, '^map [0-9]+ - ', '') AS family FROM p"""
+
+
+def page_links(spark, sf_dir):
+    """Titles, links and languages of raw pages."""
+    return pages.titles_and_links(table(spark, sf_dir, "pages"))
+
+
+PAGE_LINKS = """
+SELECT page_id, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, len(regexp_extract_all(html, '<a href="[^"]*"')) AS n_links, coalesce(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang FROM pages"""
+
+
+QUERIES = {"match_links": (match_links, MATCH_LINKS), "market_identities": (market_identities, MARKET_IDENTITIES), "page_links": (page_links, PAGE_LINKS), "version_rules": (version_rules, VERSION_RULES), "guarded_quotes": (guarded_quotes, GUARDED_QUOTES)}

@@ -20,13 +20,13 @@ class InvalidFile(ValueError):
 
 def csv_rows(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Rows of a UTF-8 CSV file as strings; the header must be unique and hold ``required``; a row of other width fails the read."""
-    header = spark.read.option("multiLine", True).csv(path, header=False).limit(1).collect()
+    header = spark.read.options(multiLine=True, escape='"').csv(path, header=False).limit(1).collect()
     names = [(x or "").lstrip("﻿") for x in header[0]] if header else []
     if len(set(names)) != len(names) or not set(required) <= set(names):
         raise InvalidFile("the header lacks required columns or repeats one")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=True, multiLine=True, encoding="UTF-8", maxCharsPerColumn=2_000_000, maxColumns=4096, nullValue="\u0000", emptyValue="")
-    return reader.csv(path)
+    reader = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=True, multiLine=True, escape='"', encoding="UTF-8", maxCharsPerColumn=2_000_000, maxColumns=4096, nullValue="\u0000", emptyValue="")
+    return reader.csv(path).na.fill("")  # an empty value is an empty text
 
 
 def payload_rows(rows: DataFrame, version_id: str) -> DataFrame:
