@@ -106,7 +106,7 @@ def listing_rows(pages: DataFrame) -> DataFrame:
     own = F.filter("rows", lambda r: F.array_contains("slugs", r["slug"]) & _filled(r["id"]) & r["date"].isNotNull())
     start = lambda r: moments.instant(F.regexp_replace(r["date"], r"^\$D", ""))
     parsed = parsed.withColumn("own", F.transform(own, lambda r: F.struct(start(r).alias("starts_at"), r.alias("r"))))
-    says_empty = F.exists("rows", lambda r: r["matches"] == "[]")
+    says_empty = F.exists("rows", lambda r: F.coalesce(r["matches"] == "[]", F.lit(False)))  # matches themselves have no such field
     issue = _first_issue({"no-main-content": ~F.coalesce("whole", F.lit(False)), "stream": F.col("stream.issue").isNotNull(), "time-without-offset": F.exists("own", lambda x: x["starts_at"].isNull()), "no-identities": (F.size("own") == 0) & ((F.size("slugs") > 0) | ~says_empty)})
     checked = parsed.withColumn("page_issue", F.when(issue == "stream", F.col("stream.issue")).otherwise(issue))
     # a page without matches gives one row without one, so that it is read and parsed once for its matches and issues

@@ -43,6 +43,11 @@ def test_matches_and_issues_of_listing_pages(spark):
     assert issues == {(0, "m5", "unknown-state"), (1, None, "time-without-offset"), (2, None, "no-main-content"), (3, None, "no-identities"), (5, None, "no-records"), (6, None, "no-identities"), (7, None, "no-main-content"), (8, None, "no-main-content"), (9, None, "unsound-stream")}
 
 
+def test_matches_that_no_link_names_are_an_issue_where_there_are_no_links(spark):
+    rows = listed(spark, page(links(), {"matches": [event(1), event(2)]}), page(links(), event(1)), page(links(), {"matches": []}, {"matches": [event(1)]}))
+    assert [tuple(r) for r in listings.listing_issues(rows).orderBy("page_id").collect()] == [(0, None, "no-identities"), (1, None, "no-identities")]
+
+
 def test_further_pages_are_those_of_the_navigation(spark):
     bar = '<nav><a href="/matches/all/2">2</a><a class="n" href="/matches/results/all/1">r</a><a href="/matches/all/2">2</a><a href="/matches/all/x">x</a></nav><a href="/matches/all/9">9</a>'
     found = listings.further_pages(spark.createDataFrame([(1, bar), (2, None)], "page_id long, html string"))
