@@ -58,3 +58,19 @@ def test_likely_names_equal_brute_force(spark, sf_dir):
     left, right = ({r["id"]: " ".join(r["name"].lower().split()) for r in df.collect()} for df in names._renamed_parts(spark, sf_dir))
     got = {(r["left_id"], r["right_id"]) for r in names.likely_names(spark, sf_dir).collect()}
     assert got == {(a, b) for a, x in left.items() for b, y in right.items() if (set(x.split()) & set(y.split())) and score(x, y) >= 0.9}
+
+
+def test_pairs_of_ids_are_never_grouped(spark):
+    one = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "a b")], "id long, name string")
+    plan = names.similar_names(one, one, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("left_id" in line.split("],")[0] and "right_id" in line.split("],")[0] for line in plan.splitlines() if "Aggregate [" in line)
+
+
+@pytest.mark.parametrize("tile", [1, 7, 256])
+def test_names_of_many_ids_are_spelt_out_in_full(spark, monkeypatch, tile):
+    monkeypatch.setattr(names, "TILE", tile)
+    rows = [(k, "a b") for k in range(50)] + [(k, "c d") for k in range(45, 60)] + [(99, "x")]
+    table = spark.createDataFrame(rows, "id long, name string")
+    got = sorted((r["left_id"], r["right_id"], r["score"]) for r in names.similar_names(table, table, 0.9).collect())
+    of = lambda name: {k for k, n in rows if n == name}
+    assert got == sorted((a, b, 1.0) for a, b in {(a, b) for n in ("a b", "c d", "x") for a in of(n) for b in of(n)})
