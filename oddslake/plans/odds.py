@@ -56,23 +56,25 @@ def match_odds(matches: DataFrame, links: DataFrame, selections: DataFrame, snap
     phase. Suspended odds are null. Probabilities go with fresh, open, current prematch
     prices of the match or its first map only.
     """
-    single = only_candidate(links, ["match_id"]).join(matches, "match_id")
-    rows = selections.join(single, "event_id").where((F.col("team_id") == F.col("home_id")) | (F.col("team_id") == F.col("away_id")))
+    # files tell little of the rows that are made of them, so no side is sent to the driver on their word
+    large = lambda df: df.hint("merge")
+    single = only_candidate(links, ["match_id"]).join(large(matches), "match_id")
+    rows = selections.join(large(single), "event_id").where((F.col("team_id") == F.col("home_id")) | (F.col("team_id") == F.col("away_id")))
     kind = ["match_id", "kind", "map_number"]
     shape = rows.groupBy(*kind).agg(F.countDistinct("market_id").alias("markets"), F.count("*").alias("n"), F.countDistinct("team_id").alias("teams"), F.countDistinct("selection_id").alias("ids"))
     unique = shape.where("markets = 1 and n = 2 and teams = 2 and ids = 2")
     same = (rows["match_id"] == unique["match_id"]) & (rows["kind"] == unique["kind"]) & rows["map_number"].eqNullSafe(unique["map_number"])
-    rows = rows.join(unique, same, "left_semi")
+    rows = rows.join(large(unique), same, "left_semi")
     newest = top_n(snapshots.where(F.col("finished_at") <= now), ["event_id", "phase"], [F.desc("finished_at"), F.desc("snapshot_id")])
-    priced = quotes.where(F.col("observed_at") <= now).join(newest.select("snapshot_id", "phase"), "snapshot_id")
+    priced = quotes.where(F.col("observed_at") <= now).join(large(newest.select("snapshot_id", "phase")), "snapshot_id")
     last = top_n(priced, ["selection_id", "phase"], [F.desc("observed_at"), F.asc_nulls_last("odds")])
-    rows = rows.join(last.select("selection_id", "phase", "observed_at", "odds", "disabled"), "selection_id")
+    rows = rows.join(large(last.select("selection_id", "phase", "observed_at", "odds", "disabled")), "selection_id")
     rows = rows.where(~((F.col("phase") == "live") & (F.col("status") == "scheduled")))
     expected = F.when(F.col("phase") == "prematch", "scheduled").otherwise("live")
     rows = rows.withColumn("historical", F.coalesce((F.col("status") != expected) | (F.col("event_status") != expected), F.lit(True)))
     rows = rows.withColumn("suspended", F.col("disabled") | F.col("odds").isNull())
     rows = rows.withColumn("core_kind", F.when(F.col("kind") == "match_winner", "winner").when(F.col("map_number") == 1, "map1"))
-    rows = rows.join(estimates, ["match_id", "core_kind", "team_id"], "left")
+    rows = rows.join(large(estimates), ["match_id", "core_kind", "team_id"], "left")
     open_now = (F.col("observed_at") >= now - F.expr(f"interval {max_age}")) & ~F.col("suspended") & (F.col("phase") == "prematch") & ~F.col("historical")
     pick = F.struct(
         (F.col("team_id") != F.col("home_id")).alias("is_away"), "team_id", F.when(~F.col("suspended"), F.col("odds")).alias("odds"), "suspended", "observed_at",

@@ -30,7 +30,7 @@ def _tables(spark, sf_dir) -> dict[str, DataFrame]:
     flat = orders.select("match_id", F.explode(markets).alias("m"), sides.alias("sides")).select("match_id", "m", F.explode("sides").alias("s"))
     selection = (F.col("match_id") * 3 + F.col("m.k")) * 2 + F.col("s.side")
     selections = flat.select(selection.alias("selection_id"), (F.col("match_id") * 3 + F.col("m.k")).alias("market_id"), F.col("match_id").alias("event_id"), "m.kind", "m.map_number", "s.team_id", "s.side", F.when(F.col("match_id") % 2 == 0, "won").otherwise("pending").alias("result"))
-    quoted = lines.join(selections.select("event_id", "selection_id", "side"), "event_id").where("side = 0 or line % 3 <> 0")
+    quoted = lines.join(selections.select("event_id", "selection_id", "side").hint("merge"), "event_id").where("side = 0 or line % 3 <> 0")
     price = (1 + F.col("discount").cast("decimal(6,2)") * 10 + F.col("side")).cast("decimal(16,6)")
     quotes = quoted.select("snapshot_id", "selection_id", F.col("finished_at").alias("observed_at"), F.when(F.col("discount") > 0.01, price).alias("odds"), (F.col("quantity") > 45).alias("disabled"))
     estimates = orders.where("match_id % 4 <> 0").select("match_id", F.explode(F.array(F.lit("winner"), F.lit("map1"))).alias("core_kind"), F.col("home_id").alias("team_id"), F.lit("0.5").cast("decimal(12,10)").alias("probability"))
