@@ -7,11 +7,13 @@ that pages meet events, feeds and games by one join on their ids and are never g
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddslake.functions import moments, text
 from oddslake.operators.latest import top_n
@@ -197,21 +199,21 @@ def _players(side: Column) -> Column:
     return text.once(shaped, lambda x: F.when(whole(x), x).otherwise(F.slice(x, 1, 0)))
 
 
-def _published_side(side: Column) -> Column:
+def _published_side(side: Column, position: Column) -> Column:
     """A side with its position; camp and objectives only beside a whole line-up, as an empty feed shows zeros that nobody has seen."""
 
     def shape(players: Column) -> Column:
         seen = F.size(players) == LINE_UP
         objectives = [F.when(seen, _not_below_zero(side[c].try_cast("long"))).alias(k) for k, c in OBJECTIVES.items()]
         bans = F.filter(F.transform(side["bans"], lambda b: b["champion_id"]), _filled)
-        return F.struct(_position(side).alias("position"), F.when(seen & side["side"].isin(*CAMPS), F.lower(side["side"])).alias("side"), players.alias("players"), *objectives, F.coalesce(bans, F.array().cast("array<string>")).alias("bans"), F.coalesce(side["win"], F.lit(False)).alias("win"))
+        return F.struct(position.alias("position"), F.when(seen & side["side"].isin(*CAMPS), F.lower(side["side"])).alias("side"), players.alias("players"), *objectives, F.coalesce(bans, F.array().cast("array<string>")).alias("bans"), F.coalesce(side["win"], F.lit(False)).alias("win"))
 
     return text.once(_players(side), shape)
 
 
-def _with_map(games: DataFrame) -> DataFrame:
+def _with_map(games: DataFrame, position: Callable[[Column], Column] = _position) -> DataFrame:
     """``games`` with number, status, seconds, winner and sides of their game, home first, and whether it is sound."""
-    sides = F.filter(F.transform("game.teams", _published_side), lambda s: s["position"].isNotNull())
+    sides = F.filter(F.transform("game.teams", lambda s: _published_side(s, position(s))), lambda s: s["position"].isNotNull())
     home_first = lambda x: F.array_sort(x, lambda a, b: F.when(a["position"] == "home", -1).otherwise(1))
     rows = games.withColumns({"number": F.col("game.number"), "status": _state(F.col("game.state")), "seconds": F.when(F.col("game.duration") > 0, F.col("game.duration")), "sides": text.once(sides, lambda x: F.when(F.size(x) == 2, home_first(x)))})
     winners = F.filter("sides", lambda s: s["win"])
@@ -228,9 +230,8 @@ def published_maps(games: DataFrame) -> DataFrame:
     return _with_map(games).where("sound").select("source_id", F.col("game.id").alias("game_id"), "number", "status", "seconds", "winner", "sides")
 
 
-def _codes(side: Column) -> Column:
+def _codes(side: Column, position: Column) -> Column:
     """The tags that may stand before a side's players: its code and its team's listed one, each also without its part after a point."""
-    position = _position(side)
     listed = F.when(position == "home", F.col("home_code")).when(position == "away", F.col("away_code"))
     codes = F.array(side["team"]["code"], listed)
     short = F.transform(codes, lambda c: F.regexp_replace(c, r"^(.*?)\.\w+", "$1"))
@@ -247,24 +248,32 @@ def merged_feeds(games: DataFrame, feeds: DataFrame) -> DataFrame:
     a feed has no winner; a feed may start a game, but not end it or start it again.
     Objectives that the feed does not publish are null. The clock is that of the feed's events.
     """
-    listed = games.withColumn("game_id", F.col("game.id")).withColumn("tagged", F.transform("game.teams", lambda s: F.struct(s.alias("own"), _codes(s).alias("codes"))))
-    rows = feeds.select("source_id", "game_id", F.from_json("data", _FEED).alias("feed")).join(listed, ["source_id", "game_id"], "left")
-
-    fits = lambda t, code: F.forall(t["players"], lambda p: F.startswith(F.lower(F.coalesce(p["summoner_name"], F.lit(""))), F.concat(code, F.lit(" "))))
-    meant = lambda t: F.flatten(F.transform("tagged", lambda o: F.transform(F.filter(o["codes"], lambda c: fits(t, c)), lambda c: F.struct(o["own"].alias("own"), c.alias("code")))))
-    rows = rows.withColumn("camps", F.transform("feed.teams", lambda t: F.struct(t.alias("seen"), meant(t).alias("meant"))))
-    lined = lambda c: F.coalesce(c["seen"]["side"].isin(*CAMPS) & (F.size(c["seen"]["players"]) == LINE_UP), F.lit(False))
-    different = lambda f: F.size(F.array_distinct(F.filter(F.transform("camps", f), _filled))) == 2
-
-    def merged(c: Column) -> Column:
-        own, seen = F.get(c["meant"], F.lit(0)), c["seen"]
-        own, code = own["own"], own["code"]
+    # a game's teams are told by their place in it, so that no step carries them twice
+    tagged = F.transform("game.teams", lambda s: text.once(_position(s), lambda p: F.struct(p.alias("position"), _codes(s, p).alias("codes"))))
+    listed = games.select("source_id", F.col("game.id").alias("game_id"), "game", tagged.alias("tagged"))
+    rows = feeds.select("source_id", "game_id", "data").join(listed, ["source_id", "game_id"], "left").withColumn("feed", F.from_json("data", _FEED)).drop("data")
+
+    def meant(t: Column) -> Column:
+        def by(names: Column) -> Column:
+            fits = lambda code: text.once(F.concat(code, F.lit(" ")), lambda tag: F.forall(names, lambda n: F.startswith(n, tag)))
+            return F.flatten(F.transform("tagged", lambda o, k: F.transform(F.filter(o["codes"], fits), lambda c: F.struct(k.alias("place"), c.alias("code")))))
+
+        return text.once(F.transform(t["players"], lambda p: F.lower(F.coalesce(p["summoner_name"], F.lit("")))), by)
+
+    rows = rows.withColumn("meant", F.transform("feed.teams", meant))
+    lined = lambda t: F.coalesce(t["side"].isin(*CAMPS) & (F.size(t["players"]) == LINE_UP), F.lit(False))
+    different = lambda texts: F.size(F.array_distinct(F.filter(texts, _filled))) == 2
+    first = lambda m: F.get(m, F.lit(0))
+
+    def merged(seen: Column, one: Column) -> Column:
+        own, code = F.get("game.teams", one["place"]), one["code"]
         untagged = lambda p: p.withField("summoner_name", F.trim(F.substr(p["summoner_name"], F.length(code) + 2)))
         dragons = F.json_array_length(seen["dragons"]).cast("string")
-        return F.struct(
+        return text.once(own, lambda own: F.struct(
             own["id"].alias("id"), seen["side"].alias("side"), own["win"].alias("win"), own["team_name"].alias("team_name"), own["team"].alias("team"), F.transform(seen["players"], untagged).alias("players"),
             F.coalesce(seen["bans"], own["bans"]).alias("bans"), *[(dragons if k == "dragons" else seen[k] if k in ("herald", "horde") else F.coalesce(seen[k], own[k])).alias(k) for k in OBJECTIVES.values()],
-        )
+            F.get("tagged", one["place"])["position"].alias("position"),
+        ))
 
     observed = moments.instant(F.regexp_replace(F.col("feed.timestamp"), r"^\$D", ""))
     rules = {
@@ -272,14 +281,14 @@ def merged_feeds(games: DataFrame, feeds: DataFrame) -> DataFrame:
         "time-without-offset": observed.isNull(),
         "unknown-game": F.col("game").isNull(),
         "not-two-teams": F.col("feed.teams").isNull() | (F.size("feed.teams") != 2),
-        "incomplete-line-up": F.exists("camps", lambda c: ~lined(c)),
-        "ambiguous-team": F.exists("camps", lambda c: F.size(c["meant"]) != 1),
-        "repeated-team": ~(different(lambda c: F.get(c["meant"], F.lit(0))["own"]["id"]) & different(lambda c: c["seen"]["side"])),
+        "incomplete-line-up": F.exists("feed.teams", lambda t: ~lined(t)),
+        "ambiguous-team": F.exists("meant", lambda m: F.size(m) != 1),
+        "repeated-team": ~(different(F.transform("meant", lambda m: F.get("game.teams", first(m)["place"])["id"])) & different(F.transform("feed.teams", lambda t: t["side"]))),
     }
     checked = rows.withColumns({"issue": _first_issue(rules), "observed_at": observed, "state": F.col("feed.state"), "clock": frame_seconds(F.col("feed.events"))})
     started = F.col("feed.state").isin("STARTED", "PAUSED") & (F.coalesce(F.col("game.state"), F.lit("")) != "COMPLETED")
-    game = F.struct(F.col("game.id").alias("id"), F.col("game.number").alias("number"), F.when(started, "STARTED").otherwise(F.col("game.state")).alias("state"), F.coalesce("clock", "game.duration").alias("duration"), F.transform("camps", merged).alias("teams"))
-    whole = _with_map(checked.withColumn("game", F.when(F.col("issue").isNull(), game)))
+    game = F.struct(F.col("game.id").alias("id"), F.col("game.number").alias("number"), F.when(started, "STARTED").otherwise(F.col("game.state")).alias("state"), F.coalesce("clock", "game.duration").alias("duration"), F.transform("feed.teams", lambda t, k: text.once(first(F.get("meant", k)), lambda one: merged(t, one))).alias("teams"))
+    whole = _with_map(checked.withColumn("game", F.when(F.col("issue").isNull(), game)), lambda s: s["position"])
     sound = F.col("sound") & F.forall("sides", lambda s: F.size(s["players"]) == LINE_UP)
     issue = F.coalesce("issue", F.when(~F.coalesce(sound, F.lit(False)), "incomplete-statistics"))
     out = whole.withColumn("issue", issue)
@@ -377,9 +386,12 @@ def tagged_feeds(spark, sf_dir):
     """
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("h"), (F.col("o_orderkey") % 4 + 3).alias("a"), (F.col("o_totalprice") % 9).cast("long").alias("q"), F.col("o_orderstatus").alias("s"))
     roles = ["TOP", "JUNGLE", "MID", "BOTTOM", "SUPPORT"]
-    own = lambda c, p: F.struct(F.concat(F.lit(p), c).alias("id"), F.struct(F.concat(F.lit(p), c).alias("name"), F.concat(F.lit("C"), c, F.lit(".A")).alias("code")).alias("team"), (F.lit(p) == "h").alias("win"))
-    record = F.struct(F.concat(F.lit("g"), "k").alias("id"), F.lit(1).alias("number"), F.when(F.col("s") == "F", "COMPLETED").otherwise("UNSTARTED").alias("state"), F.array(own(F.col("h"), "h"), own(F.col("a"), "a")).alias("teams"))
-    game = F.from_json(F.to_json(record), f"struct<{_GAME}>")
+
+    def own(c: Column, p: str) -> Column:
+        known = {"id": F.concat(F.lit(p), c), "win": F.lit(p == "h"), "team": F.struct(F.concat(F.lit(p), c).alias("name"), F.concat(F.lit("C"), c, F.lit(".A")).alias("code"))}
+        return F.struct(*[known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in T.StructType.fromDDL(_SIDE)])
+
+    game = F.struct(F.concat(F.lit("g"), "k").alias("id"), F.lit(1).cast("long").alias("number"), F.when(F.col("s") == "F", "COMPLETED").otherwise("UNSTARTED").alias("state"), F.lit(None).cast("long").alias("duration"), F.array(own(F.col("h"), "h"), own(F.col("a"), "a")).alias("teams"))
     games = orders.select(F.col("k").alias("source_id"), F.array(F.concat(F.lit("h"), "h")).alias("home_names"), F.array(F.concat(F.lit("a"), "a")).alias("away_names"), F.lit(None).cast("string").alias("home_code"), F.lit(None).cast("string").alias("away_code"), game.alias("game"))
     figures = [F.col("q").alias(c) for c in ("kills", "deaths", "assists", "creep_score")]
     player = lambda c, k, role: F.struct(F.concat(F.lit("c"), c, F.lit(f" Player {k}")).alias("summoner_name"), F.lit(role).alias("role"), *figures)

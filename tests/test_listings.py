@@ -165,3 +165,14 @@ def test_rendered_line_ups_need_a_team_five_figures_and_five_roles(spark):
     assert [(p["id"], p["role"], p["kills"], p["gold"]) for p in away["players"]][:2] == [("name 0", "TOP", 9, None), ("name 1", "JGL", 9, 9001)]
     assert not out[2]["from_page"] and not out[3]["from_page"]
     assert out[2]["sides"] == out[3]["sides"]
+
+
+def test_a_feed_is_read_once_and_its_events_are_put_in_order_once(spark, sf_dir):
+    from oddslake.plans.series import frame_seconds
+
+    plan = listings.tagged_feeds(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    events = spark.createDataFrame([([("START", 0, None, None), ("PAUSE", 5000, "start", None), ("PAUSE", 9000, "end", None), ("KILL", 61000, None, None)],), ([],), (None,)], "events array<struct<type:string,clock:long,value:string,clock_end:long>>")
+    seconds = events.select(frame_seconds(events["events"]).alias("s"))
+    assert seconds._jdf.queryExecution().analyzed().toString().count("array_sort") == 1
+    assert [r["s"] for r in seconds.collect()] == [57, None, None]
