@@ -87,3 +87,15 @@ def test_brands_of_competitions(spark):
     asked = [("Anything", "logo-1"), ("Minor League Playoffs", "logo-2"), ("MJL Spring 2025", None), ("Major League Summer 2024", ""), ("Nobody", "logo-3"), ("", None), (None, None)]
     found = provision.competition_brands(spark.createDataFrame(asked, "name string, image string"), spark.createDataFrame(leagues, "league_id string, name string, slug string, image string, source_image string, provider boolean"))
     assert {r["name"]: (r["league_id"], r["reason"]) for r in found.collect()} == {"Anything": ("l1", "logo"), "Minor League Playoffs": ("l5", "base-name"), "MJL Spring 2025": ("l1", "base-name"), "Major League Summer 2024": ("l1", "base-name")}
+
+
+def test_names_meet_teams_in_one_join_and_teams_are_grouped_before_they_become_names(spark):
+    from oddslake.plans.identity import team_scores
+
+    teams = spark.createDataFrame([("t1", "Fox Women", ["Team Fox Women", "FOX women"], "FX", "fox"), ("t2", "Owl", None, "", None)], "team_id string, name string, aliases array<string>, code string, slug string")
+    names = spark.createDataFrame([("fox women",), ("Fox",), ("Team Owl",), ("OWL",), ("fx",), (None,)], "name string")
+    scores = team_scores(names, teams)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # the names asked for, the teams, and the result; a table of the teams' names would be a fourth
+    assert (sum("Join " in x for x in plan), sum("Aggregate " in x for x in plan)) == (1, 3)
+    assert {(r["name"], r["team_id"]): r["score"] for r in scores.collect()} == {("fox women", "t1"): 1.0, ("Fox", "t1"): 1.0, ("Team Owl", "t2"): 0.94, ("OWL", "t2"): 1.0, ("fx", "t1"): 1.0}
