@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import bound_batches, read_table, remainder_of_id, slices, small_enough, written
+from oddslake.llm.common import bound_batches, drop_written, read_table, remainder_of_id, slices, small_enough, written
 
 #: Part of the pooled covariance, and of its diagonal, in each class covariance.
 POOLED, DIAGONAL = 0.2, 0.05
@@ -25,7 +25,7 @@ FLOOR = 0.02
 #: Log-density differences are held within this bound.
 MOST_LOGIT = 30.0
 THRESHOLD = 0.3
-#: Labelled ids that are broadcast at most (8 bytes each).
+#: Labels that are broadcast at most (12 bytes each).
 MOST_BROADCAST_LABELS = 1_000_000
 
 FEATURES = ("log_words", "mean_word", "long_words", "short_words", "symbols", "bars", "marks", "stops", "upper", "doubled", "distinct", "repeats", "line_words", "non_ascii", "white")
@@ -102,13 +102,17 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, pooled: floa
     return Discriminant(means, np.array(whiten), np.array(log_det), prior)
 
 
+def _statistics_of(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t or "") for t in texts.to_pylist()], np.float32).reshape(-1, len(FEATURES))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x) with the statistics of every whole text; a null text counts as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], np.float32)
+                x = _statistics_of(batch.column("text"))
                 lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), x.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
 
@@ -121,21 +125,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Discriminant:
-    """Fit to ``labelled``: x and label (0 or 1). Only sums by class reach the driver, their number fixed by FEATURES."""
+    """Fit to ``labelled``: label (0 or 1) and x, or else text. Only sums by class reach the driver, their number fixed by FEATURES.
+
+    Statistics of texts are taken and summed in one pass: a task that took them in one step
+    of Python and summed them in another would hold two Python workers.
+    """
     d = len(FEATURES)
+    given = "x" if "x" in labelled.columns else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 + d + d * d))
-        for batch in batches:
-            x, y = _matrix(batch.column("x")), batch.column("label").to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                own = x[y == k]
-                totals[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+        for whole in batches:
+            for batch in slices(whole, "text") if given == "text" else [whole]:
+                x = _statistics_of(batch.column("text")).astype(np.float64) if given == "text" else _matrix(batch.column("x"))
+                y = batch.column("label").to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    own = x[y == k]
+                    totals[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         for k in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array([k] * totals.shape[1], pa.int32()), pa.array(range(totals.shape[1]), pa.int32()), pa.array(totals[k])], names=["label", "at", "v"])
 
     sums = np.zeros((2, 1 + d + d * d))
-    for r in labelled.select("x", "label").mapInArrow(run, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect():
+    for r in labelled.select(given, "label").mapInArrow(run, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect():
         sums[r["label"], r["at"]] = r["v"]
     return fit(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(2, d, d))
 
@@ -187,17 +198,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: flo
     """
     bound_batches(docs.sparkSession)
     known = _training_labels(labels, folds)
-    ids = known.select("doc_id").distinct()
-    if small_enough(ids, MOST_BROADCAST_LABELS):
-        taught = features(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+    if small_enough(known, MOST_BROADCAST_LABELS):
+        model = train(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
     else:  # statistics of all documents are smaller to shuffle than texts
-        taught = features(docs)
-    model = train(taught.join(known, "doc_id"))
+        table, model = learn(docs, labels, folds)
+        drop_written(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(FEATURES))
+                x = _statistics_of(batch.column("text"))
                 yield batch.filter(pa.array(model.score(x.astype(np.float64)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -59,6 +59,19 @@ def test_kept_rows_are_those_predicted(spark, sf_dir):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in want.collect()}
 
 
+@pytest.mark.parametrize("most_broadcast", [quality_model.MOST_BROADCAST_LABELS, 0])
+def test_kept_rows_with_repeated_odd_and_unknown_labels(spark, sf_dir, monkeypatch, most_broadcast):
+    monkeypatch.setattr(quality_model, "MOST_BROADCAST_LABELS", most_broadcast)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.withColumn("label", F.lit("own")).union(docs.limit(30).withColumn("label", F.lit(None)))
+    given = labels.select("doc_id", "quality")
+    labels = given.union(given.limit(40)).union(spark.createDataFrame([(None, 1), (10**9, 0), (1, None), (2, 7)], given.schema))
+    kept = quality_model.keep_good(docs, labels)
+    want = quality_model.classify(docs, labels).where("predicted = 1")
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in want.collect())
+
+
 def test_quality_query_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}

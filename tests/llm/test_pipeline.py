@@ -51,6 +51,38 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in stages[-1].collect())
 
 
+def python_steps_ahead(df):
+    """Whether a task that reads the rows of ``df`` runs Python for them: a step of Python in its plan with no exchange, written table or broadcast above it."""
+    above = []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        if "InArrow" in line and not any("Exchange" in x for _, x in above):
+            return True
+        above.append((depth, line))
+    return False
+
+
+@pytest.mark.parametrize("most_broadcast", [quality_model.MOST_BROADCAST_LABELS, 0])
+def test_no_task_of_a_stage_holds_two_python_workers(spark, sf_dir, monkeypatch, most_broadcast):
+    kind, chained = type(spark.range(0)), []
+    real = kind.mapInArrow
+
+    def watched(df, func, schema, *more, **named):
+        if python_steps_ahead(df):
+            chained.append(schema)
+        return real(df, func, schema, *more, **named)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert python_steps_ahead(quality_model.features(docs).where("doc_id > 0"))
+    assert not python_steps_ahead(quality_model.features(docs).repartition("doc_id"))
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    monkeypatch.setattr(quality_model, "MOST_BROADCAST_LABELS", most_broadcast)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir)
+    assert not chained
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
