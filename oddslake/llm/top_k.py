@@ -7,7 +7,9 @@ length share a block. In every other
 bucket that score, divided by the query's and the bucket's lengths, is a threshold on the
 cosine: above 1 the bucket is skipped; a high one prunes by coordinates (a vector within
 that angle of the query has each coordinate within known bounds), a low one by length.
-What remains is verified by integer products.
+What remains is verified by integer products. Blocks are packed in the narrowest integers
+that hold them; vectors and the query blocks that need them meet by a shuffle of regions of
+blocks, never by a broadcast, and a task holds one region's vectors.
 """
 
 from __future__ import annotations
@@ -36,8 +38,15 @@ EPSILON = 1e-9
 EXACT = 2.0**52
 #: Bytes of seed blocks that are broadcast at most.
 MOST_SEED_BYTES = 1 << 26
+#: Regions that the blocks of vectors are put in, unless one would have more than so many blocks: a query block is sent once to each region that it needs.
+REGIONS, MOST_REGION_BLOCKS = 64, 64
+#: A query with candidates of this share of a block or more is multiplied with the whole block, together with others.
+TOGETHER_FROM = 1 / 16
 
+_HELD = ("n", "rows", "ids", "vectors", "norms", "least")
 _PACKED = "dims int, block int, n int, rows binary, ids binary, vectors binary, norms binary, least binary"
+#: Shuffle partitions of the regions at most; a region is never split.
+MOST_TASKS = 2048
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -100,13 +109,33 @@ def pack(table: pa.Table) -> pa.Table:
     dims, block = table.column("dims")[0].as_py(), table.column("block")[0].as_py()
     v = pc.list_flatten(table.column("v")).to_numpy().reshape(len(ids), dims)
     order = np.lexsort((ids, -norms))
-    held = {"rows": rows, "ids": ids, "vectors": v, "norms": norms, "least": least.astype(np.float64)}
+    held = {"rows": rows, "ids": ids, "vectors": narrow(v), "norms": norms, "least": least.astype(np.float64)}
     return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(ids)], pa.int32()), **{c: [x[order].tobytes()] for c, x in held.items()}})
 
 
-def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def narrow(v: np.ndarray) -> np.ndarray:
+    """``v`` in the narrowest integers that hold it."""
+    low, high = (int(v.min()), int(v.max())) if v.size else (0, 0)
+    return v.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+class Block(NamedTuple):
+    """A packed block of vectors, the longest first."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    norms: np.ndarray
+    least: np.ndarray
+
+
+def _unpacked(row: dict, side: str = "") -> Block:
+    n, dims = row[f"{side}n"], row["dims"]
     rows, ids = (np.frombuffer(row[f"{side}{c}"], np.int64) for c in ("rows", "ids"))
-    return rows, ids, np.frombuffer(row[f"{side}vectors"], np.int64).reshape(row[f"{side}n"], row["dims"]), np.frombuffer(row[f"{side}norms"], np.float64)
+    norms, least = (np.frombuffer(row[f"{side}{c}"], np.float64) for c in ("norms", "least"))
+    packed = row[f"{side}vectors"]
+    vectors = np.frombuffer(packed, f"i{len(packed) // (n * dims)}" if dims else np.int8).reshape(n, dims)
+    return Block(rows, ids, vectors, norms, least)
 
 
 def candidates(query: np.ndarray, length: float, least: float, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
@@ -131,55 +160,96 @@ def candidates(query: np.ndarray, length: float, least: float, vectors: np.ndarr
     return np.flatnonzero(fits)
 
 
-def best_of_block(row: dict, k: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def best_of_block(asked: Block, held: Block, k: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(query row, query id, vec_ids, scores) of the k best in the block, ties to smaller ids, none below the query's threshold."""
-    q_rows, q_ids, queries, q_norms = _unpacked(row, "q_")
-    rows, ids, vectors, norms = _unpacked(row, "")
-    least = np.frombuffer(row["q_least"], np.float64)
-    kind = np.float64 if q_norms.max() * norms[0] < EXACT else np.int64  # no sum of products is above the product of lengths
-    vectors, queries = vectors.astype(kind), queries.astype(kind)
-    places = [candidates(v, length, floor, vectors, norms) for v, length, floor in zip(queries, q_norms, least, strict=True)]
-    whole = [n for n, at in enumerate(places) if at is None]
-    products = dict(zip(whole, queries[whole] @ vectors.T, strict=True))
+    kind = np.float64 if asked.norms.max() * held.norms[0] < EXACT else np.int64  # no sum of products is above the product of lengths
+    vectors, queries = held.vectors.astype(kind, order="F"), asked.vectors.astype(kind)
+    places = [candidates(v, length, floor, vectors, held.norms) for v, length, floor in zip(queries, asked.norms, asked.least, strict=True)]
+    many = [n for n, at in enumerate(places) if at is None or len(at) >= TOGETHER_FROM * len(held.ids)]
+    products = dict(zip(many, queries[many] @ vectors.T, strict=True))
     out = []
     for n, at in enumerate(places):
-        scores = products[n] if at is None else vectors[at] @ queries[n]
-        keep = scores >= least[n]
-        keep &= (rows if at is None else rows[at]) != q_rows[n]
-        scores, own = scores[keep], (ids if at is None else ids[at])[keep]
+        if at is not None and not len(at):
+            continue
+        scores = products.get(n)
+        if scores is None:
+            scores = vectors[at] @ queries[n]
+        elif at is not None:
+            scores = scores[at]
+        keep = scores >= asked.least[n]
+        keep &= (held.rows if at is None else held.rows[at]) != asked.rows[n]
+        scores, own = scores[keep], (held.ids if at is None else held.ids[at])[keep]
         if len(scores) > k:
             top = np.partition(scores, len(scores) - k)[len(scores) - k]
             scores, own = scores[scores >= top], own[scores >= top]
             order = np.lexsort((own, -scores))[:k]
             scores, own = scores[order], own[order]
         if len(scores):
-            out.append((int(q_rows[n]), int(q_ids[n]), own, scores.astype(np.int64)))
+            out.append((int(asked.rows[n]), int(asked.ids[n]), own, scores.astype(np.int64)))
     return out
 
 
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
+def _as_batch(found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(x[2]) for x in found]
+    columns = [np.repeat([x[0] for x in found], sizes), np.repeat([x[1] for x in found], sizes), *(np.concatenate([x[c] for x in found]) for c in (2, 3))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
+
+
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(batch.num_rows):
-                found = best_of_block(batch.slice(start, 1).to_pylist()[0], k)
+                row = batch.slice(start, 1).to_pylist()[0]
+                found = best_of_block(_unpacked(row, "q_"), _unpacked(row), k)
                 if found:
-                    sizes = [len(x[2]) for x in found]
-                    columns = [np.repeat([x[0] for x in found], sizes), np.repeat([x[1] for x in found], sizes), *(np.concatenate([x[c] for x in found]) for c in (2, 3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
+                    yield _as_batch(found)
 
     return pairs.mapInArrow(run, _FOUND)
 
 
+def _scored_by_region(asked: DataFrame, blocks: DataFrame, runs: list[Run], k: int) -> DataFrame:
+    """The best of all blocks but the first for the query blocks ``asked``, by regions of blocks.
+
+    Neither side is broadcast: a query block that is sent to many regions is much more than
+    its table, by whose size Spark would choose. A task takes a region's blocks first and
+    holds them while the query blocks pass.
+    """
+    total = sum(r.parts for r in runs)
+    per = min(MOST_REGION_BLOCKS, -(-total // REGIONS))
+    places = blocks.where("block > 0").select("dims", F.floor(F.col("block") / per).cast("int").alias("region"), F.lit(False).alias("asks"), *_HELD)
+    sent = _surviving(asked, runs, per).unionByName(places)
+    dealt = sent.repartition(min(4 * -(-total // per), MOST_TASKS), "dims", "region").sortWithinPartitions("dims", "region", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held = None, []
+        for batch in batches:
+            for start in range(batch.num_rows):
+                row = batch.slice(start, 1).to_pylist()[0]
+                if (row["dims"], row["region"]) != where:
+                    where, held = (row["dims"], row["region"]), []
+                block = _unpacked(row)
+                if not row["asks"]:
+                    held.append(block)
+                    continue
+                need = _need(block.norms, block.least)
+                for own in held:
+                    found = best_of_block(block, own, k) if _reaches(own.norms[0], need) else []
+                    if found:
+                        yield _as_batch(found)
+
+    return dealt.mapInArrow(run, _FOUND)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
-    return blocks.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vectors", "norms", "least")))
+    return blocks.select("dims", *(F.col(c).alias(f"q_{c}") for c in _HELD))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFrame:
@@ -204,6 +274,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFr
     starts = [r for r in runs if r.start == 0]
     if sum(8 * BLOCK * (r.dims + 4) for r in starts) <= MOST_SEED_BYTES:
         seeds = F.broadcast(seeds)
+    else:
+        seeds = seeds.hint("merge")  # no broadcast by the size of a packed table
     found = written(_ranked(_scored(_asked(first).join(seeds, "dims"), k), k), "seeds")
 
     # queries of like needs share a block: how long must a vector be to reach the score of rank k?
@@ -211,28 +283,34 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFr
     needs = queries.drop("cell").join(floors, "row", "left").withColumn("measure", F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")))
     needs = needs.withColumns({"cell": grid("measure", NEED_STEPS), "least": F.coalesce("floor", F.lit(float("-inf")))})
     second, _ = in_blocks(needs, QUERY_BLOCK)
-    rest = _scored(_surviving(_asked(second), runs).join(blocks, ["dims", "block"]), k)
+    rest = _scored_by_region(second, blocks, runs, k)
     every = found.select("query_row", "query_id", "vec_id", "score").union(rest)
     return _ranked(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _surviving(asked: DataFrame, runs: list[Run]) -> DataFrame:
-    """Query blocks, once for each block but the first that some of their queries need to visit."""
-    columns = ["dims", "q_n", "q_rows", "q_ids", "q_vectors", "q_norms", "q_least"]
+def _need(norms: np.ndarray, least: np.ndarray) -> float:
+    """How long a vector must be at least to reach the threshold of some query of a block."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.where((norms > 0) & np.isfinite(least), least / norms, -np.inf).min())
+
+
+def _reaches(length: float, need: float) -> bool:
+    return length >= need * (1 - EPSILON) - EPSILON
+
+
+def _surviving(asked: DataFrame, runs: list[Run], per: int) -> DataFrame:
+    """Query blocks, once for each region of ``per`` blocks that some of their queries need to visit for a block but the first."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                one = batch.slice(n, 1).select(columns)
-                length, floor = (np.frombuffer(one.column(c)[0].as_py(), np.float64) for c in ("q_norms", "q_least"))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    need = np.where((length > 0) & np.isfinite(floor), floor / length, -np.inf).min()
-                for run in runs:
-                    if run.dims == one.column("dims")[0].as_py() and run.most >= need * (1 - EPSILON) - EPSILON:
-                        for block in range(max(1, run.start), run.start + run.parts):
-                            yield pa.RecordBatch.from_arrays([*one.columns, pa.array([block], pa.int32())], names=[*columns, "block"])
-
-    return asked.mapInArrow(visit, "dims int, q_n int, q_rows binary, q_ids binary, q_vectors binary, q_norms binary, q_least binary, block int")
+                one = batch.slice(n, 1).select(["dims", *_HELD])
+                need = _need(*(np.frombuffer(one.column(c)[0].as_py(), np.float64) for c in ("norms", "least")))
+                mine = [r for r in runs if r.dims == one.column("dims")[0].as_py() and _reaches(r.most, need)]
+                for region in sorted({b // per for r in mine for b in range(max(1, r.start), r.start + r.parts)}):
+                    yield pa.RecordBatch.from_arrays([one.column("dims"), pa.array([region], pa.int32()), pa.array([True]), *(one.column(c) for c in _HELD)], names=["dims", "region", "asks", *_HELD])
+
+    return asked.mapInArrow(visit, "dims int, region int, asks boolean, n int, rows binary, ids binary, vectors binary, norms binary, least binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

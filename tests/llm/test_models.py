@@ -222,6 +222,21 @@ def test_top_k_with_repeated_ids(table, monkeypatch):
     assert got == brute_top_k(rows, 6)
 
 
+def test_query_blocks_go_to_regions_and_are_never_broadcast(table, monkeypatch):
+    for name, value in (("BLOCK", 32), ("QUERY_BLOCK", 4), ("REGIONS", 3)):
+        monkeypatch.setattr(top_k, name, value)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors(5, 700))] + [(1000 + k, v.tolist()) for k, v in enumerate(vectors(6, 300, 8) * 1e4)]
+    found = top_k.search(table(rows), F.col("vec_id") % 20 == 0, k=7)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == brute_top_k(rows, 7)
+
+
+@pytest.mark.parametrize("most, size", [(127, 1), (128, 2), (2**15, 4), (2**31, 8)])
+def test_vectors_are_packed_in_the_narrowest_integers(most, size):
+    v = np.array([[most, -1], [0, 1]], np.int64)
+    assert top_k.narrow(v).itemsize == size and (top_k.narrow(v) == v).all()
+
+
 def test_top_k_of_large_components(table):
     rows = [(k, [float(2**24 + 20 * k), -3.0]) for k in range(60)]  # products are beyond what doubles hold exactly
     got = sorted(map(tuple, top_k.search(table(rows), F.col("vec_id") % 20 == 0, k=5).select("query_id", "rank", "vec_id", "score").collect()))
