@@ -74,3 +74,10 @@ def test_names_of_many_ids_are_spelt_out_in_full(spark, monkeypatch, tile):
     got = sorted((r["left_id"], r["right_id"], r["score"]) for r in names.similar_names(table, table, 0.9).collect())
     of = lambda name: {k for k, n in rows if n == name}
     assert got == sorted((a, b, 1.0) for a, b in {(a, b) for n in ("a b", "c d", "x") for a in of(n) for b in of(n)})
+
+
+def test_pairs_of_names_are_dealt_over_tasks_before_they_take_up_ids(spark):
+    pairs = spark.createDataFrame([("a b", "a b")], "left_key string, right_key string")
+    members = spark.createDataFrame([(1, "a b")], "id long, key string")
+    plan = names.spelt_out(pairs, members, members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [left_key" in plan
